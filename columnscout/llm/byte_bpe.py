@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -198,7 +199,7 @@ def encoder(path: str) -> ByteBpe:
 
 def _blocks(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about `most` bytes of text, so that memory doesn't follow the texts' length."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     block = np.cumsum(sizes) // most
     starts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(sizes)]
     for a, b in zip(starts, starts[1:]):

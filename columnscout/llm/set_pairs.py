@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def _batch(out: list[tuple], ids, sizes, sketch) -> pa.RecordBatch:
 def _flat(batch: pa.RecordBatch):
     ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     tokens = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     rec = np.repeat(np.arange(len(ids)), sizes)
     sketch = np.zeros(len(ids), np.uint64)
     np.bitwise_or.at(sketch, rec, np.uint64(1) << (_mix(tokens, 0x9E6C63D0876A9A47) % np.uint64(64)))
