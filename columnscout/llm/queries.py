@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columnscout.functions.latest import latest_rows
-from columnscout.llm import byte_bpe, components, set_pairs
+from columnscout.llm import byte_bpe, components, neighbours, overlaps, set_pairs, terms
+from columnscout.plans.lineage import Stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,4 +34,35 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_corpus(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = overlaps.load(_table(spark, sf_dir, "idents"), Stages(spark, "overlaps"))
+    return overlaps.overlapping_pairs(state, 0.4).select("nid_a", "nid_b")
+
+
+def _term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the terms of each current modeldb record's values and of its column name in profile."""
+    records = current_modeldb(spark, sf_dir, "t_data").where(F.exists("t_data", lambda v: v.isNotNull() & (F.trim(v) != "")))
+    names = _table(spark, sf_dir, "profile").where("id is not null and columnName is not null").groupBy(F.col("id").alias("nid")).agg(F.max("columnName").alias("name"))
+    texts = records.join(names, "nid", "left").select("nid", F.array_append("t_data", F.col("name")).alias("texts"))
+    texts = Stages(spark, "terms").write(texts.select(F.col("nid").alias("id"), F.flatten(F.transform("texts", terms.terms_of)).alias("terms")), "terms")
+    return terms.term_scores(texts.select("id", F.explode("terms").alias("term")), texts)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = terms.best_terms(_term_scores(spark, sf_dir), "rarity", k=3, least_records=2, places=9)
+    return best.select(F.col("id").alias("nid"), "term")
+
+
+def p5_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = terms.best_terms(_term_scores(spark, sf_dir), "residual", k=3, least_records=2, places=6)
+    return best.select(F.col("id").alias("nid"), "term", F.col("score").alias("residual"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = current_modeldb(spark, sf_dir, "signature")
+    near = neighbours.nearest_vectors(vectors, "nid", "signature", 64, neighbours.Params(k=5, min_similarity=0.8))
+    return near.select(F.least("id", "neighbour").alias("nid_a"), F.greatest("id", "neighbour").alias("nid_b")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
+           "p6_found": p6_found, "p7_ids": p7_ids}

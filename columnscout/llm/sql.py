@@ -3,7 +3,41 @@
 CURRENT = """cur as (select * from modeldb where nid is not null
     qualify row_number() over (partition by nid order by updated_at desc nulls last, received_at desc nulls last) = 1)"""
 
+#: (id, term, c) of each record's terms, its number of records N, and d of each term.
+TERMS = f"""{CURRENT},
+rec as (select nid, t_data from cur where len(list_filter(t_data, lambda v: v is not null and trim(v, ' ') <> '')) > 0),
+txt as (select nid, unnest(t_data) as v from rec
+        union all select r.nid, p.name from rec r join (select id, max(columnName) as name from profile where columnName is not null group by id) p on p.id = r.nid),
+occ as (select nid, unnest(regexp_extract_all(lower(v), '[0-9]*[a-z][a-z0-9]*')) as term from txt where v is not null),
+cnt as (select nid, term, count(*) as c from occ group by 1, 2),
+df as (select term, count(*) as d, sum(c) as col_total from cnt group by 1)"""
+
 SQL = {
+    "p4_found": """
+with m as (select distinct nid, ident from idents where nid is not null and ident is not null),
+s as (select nid, count(*) as n from m group by nid),
+j as (select a.nid as x, b.nid as y, count(*) as o from m a join m b on a.ident = b.ident and a.nid < b.nid group by 1, 2)
+select x as nid_a, y as nid_b from j join s p on x = p.nid join s q on y = q.nid where o >= 0.4 * least(p.n, q.n) - 1e-9""",
+    "p5_found": f"""
+with {TERMS}
+select nid, term from cnt join df using (term), (select count(*) as n from rec)
+where d >= 2
+qualify row_number() over (partition by nid order by round((1 + ln(c)) * ln(n / d), 9) desc, term) <= 3""",
+    "p5_residuals": f"""
+with {TERMS},
+rows_ as (select nid, sum(c) as row_total from cnt group by 1),
+tot as (select sum(c) as total from cnt),
+res as (select nid, term, d, (c - row_total * col_total / total) / sqrt(row_total * col_total / total * (1 - row_total / total) * (1 - col_total / total)) as r
+        from cnt join df using (term) join rows_ using (nid), tot)
+select nid, term, round(r, 6) as residual from res where d >= 2
+qualify row_number() over (partition by nid order by round(r, 6) desc, term) <= 3""",
+    "p6_found": f"""
+with {CURRENT},
+sig as (select nid, signature::double[] as v from cur where len(signature) = 64
+        and len(list_filter(signature, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(signature, lambda x: x <> 0)) > 0),
+sim as (select a.nid as x, b.nid as y, round(list_cosine_similarity(a.v, b.v), 12) as s from sig a join sig b on a.nid <> b.nid),
+top as (select x, y, s from sim qualify row_number() over (partition by x order by s desc, y) <= 5)
+select distinct least(x, y) as nid_a, greatest(x, y) as nid_b from top where s >= 0.8""",
     "p1_found": f"""
 with {CURRENT},
 tok as (select distinct nid, lower(trim(v, ' ')) as v from (select nid, unnest(t_data) as v from cur)
