@@ -207,13 +207,13 @@ def _blocks(batch: pa.RecordBatch, text: int, most: int = 8 << 20) -> Iterator[p
 
 
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS,
-                  vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
+                  vocabulary: str = VOCABULARY, counts_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, ids) of every row: the token ids of the whole text, without special tokens.
 
     A null text and an empty text both have the empty list. Strings that look like a
     special token are ordinary text. Every row gives one row, repeated rows and rows
     with a null id included; other columns are ignored, whatever their names. With
-    `counts_only` the result is (id, n_tokens long). No shuffle.
+    `counts_only` the result is (id, n_tokens long). Columns named in `keep` follow the result's. No shuffle.
     """
     path = os.path.join(tokenizers, vocabulary)
     id_type = documents.schema[id_col].dataType.simpleString()
@@ -224,11 +224,13 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             for batch in _blocks(whole, 1):
                 flat, offsets = bpe.encode(batch.column(1).to_pylist())
                 if counts_only:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets))], ["id", "n_tokens"])
+                    result = pa.array(np.diff(offsets))
                 else:
-                    ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
-
-    kind = "n_tokens long" if counts_only else "ids array<int>"
-    out = documents.select(documents[id_col].alias("id"), documents[text_col].cast("string").alias("text")).mapInArrow(encode, f"id {id_type}, {kind}")
-    return out.withColumnRenamed("id", id_col)
+                    result = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                columns = [batch.column(0), result, *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
+
+    names = [id_col, "n_tokens" if counts_only else "ids", *keep]
+    types = [id_type, "long" if counts_only else "array<int>", *(documents.schema[c].dataType.simpleString() for c in keep)]
+    read = documents.select(documents[id_col].alias("c0"), documents[text_col].cast("string").alias("c1"), *(documents[c].alias(f"c{i + 2}") for i, c in enumerate(keep)))
+    return read.mapInArrow(encode, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*names)

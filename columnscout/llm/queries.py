@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columnscout.functions.latest import latest_rows
-from columnscout.llm import byte_bpe, components, neighbours, overlaps, set_pairs, terms
+from columnscout.llm import byte_bpe, components, mixing, neighbours, overlaps, set_pairs, terms
 from columnscout.plans.lineage import Stages
 
 
@@ -64,5 +64,33 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("nid_a"), F.greatest("id", "neighbour").alias("nid_b")).distinct()
 
 
+def _mixture(spark: SparkSession, sf_dir: str, temperature: bool = False):
+    """Drawn texts, quotas and targets; by mix_targets, or tempered to the entropy of its shares."""
+    rows = _table(spark, sf_dir, "mix_targets").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most")).where("source <> ''").orderBy("source").collect()
+    targets, repeats = {r["source"]: r["share"] for r in rows}, {r["source"]: r["most"] for r in rows}
+    stages = Stages(spark, "mixing")
+    sized = stages.write(mixing.sized_texts(_table(spark, sf_dir, "documents"), list(targets)), "sized")
+    supply = {r["source"]: (r["tokens"], r["texts"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts")).collect()}
+    weights = targets
+    if temperature:
+        tokens = {s: supply.get(s, (0, 0))[0] for s in targets}
+        weights = mixing.tempered(tokens, mixing.exponent_for_entropy(tokens, mixing.entropy(targets)))
+    parts = mixing.quotas(weights, supply, repeats)
+    return mixing.draw(sized, parts), parts, weights
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn, _, _ = _mixture(spark, sf_dir)
+    return drawn.select("source", F.col("id").alias("doc_id"), "n_tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir))
+
+
+def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixture(spark, sf_dir, temperature=True))
+
+
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
-           "p6_found": p6_found, "p7_ids": p7_ids}
+           "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature}
