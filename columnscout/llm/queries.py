@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columnscout.functions.latest import latest_rows
-from columnscout.llm import byte_bpe, components, mixing, neighbours, overlaps, set_pairs, terms
+from columnscout.llm import byte_bpe, components, mixing, neighbours, overlaps, prose, set_pairs, terms
 from columnscout.plans.lineage import Stages
 
 
@@ -92,5 +92,23 @@ def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixture(spark, sf_dir, temperature=True))
 
 
+def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return prose.structure(documents, prose.fit_profiles(documents, _table(spark, sf_dir, "doclabels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _structure(spark, sf_dir).where("running_share < 0.5").select("doc_id")
+
+
+def p9_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _structure(spark, sf_dir)
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.statistics(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
-           "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature}
+           "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature,
+           "p9_found": p9_found, "p9_structure": p9_structure, "p9_statistics": p9_statistics}

@@ -1,5 +1,9 @@
 """SQL twins of this package's queries, for DuckDB over the same tables."""
 
+from columnscout.llm.prose import WORDS
+
+COMMON = ", ".join(f"'{w}'" for w in WORDS)
+
 CURRENT = """cur as (select * from modeldb where nid is not null
     qualify row_number() over (partition by nid order by updated_at desc nulls last, received_at desc nulls last) = 1)"""
 
@@ -54,4 +58,15 @@ both_ways as (select u, v from links union select v, u from links),
 reach as (select u as node_id, u as other from both_ways
           union select r.node_id, b.v from reach r join both_ways b on r.other = b.u)
 select node_id, min(other) as group_id from reach group by node_id""",
+    "p9_statistics": f"""
+with t as (select doc_id, coalesce(text, '') as x from documents),
+w as (select doc_id, length(x) as n_characters, regexp_extract_all(x, '[^ \\t\\r\\n]+') as w,
+      list_filter(list_transform(regexp_split_to_array(x, '[\\r\\n]+'), lambda y: trim(y, ' ')), lambda y: y <> '') as l,
+      length(regexp_replace(x, '[^#$%&*+/<=>@^_`{{|}}~\\\\]', '', 'g')) as s from t)
+select doc_id, n_characters, len(w) as n_words,
+  case when len(w) > 0 then round(list_sum(list_transform(w, lambda y: length(y))) / len(w), 6) end as mean_word_length,
+  case when n_characters > 0 then round(s / n_characters, 6) end as symbol_ratio, len(l) as n_lines,
+  case when len(l) > 0 then round(len(list_filter(l, lambda y: right(y, 1) in ('.', '!', '?', ':'))) / len(l), 6) end as ended_lines,
+  case when len(w) > 0 then round(len(list_filter(w, lambda y: lower(y) in ({COMMON}))) / len(w), 6) end as common_words
+from w""",
 }
