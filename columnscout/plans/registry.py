@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from columnscout.plans import catalogue
+from columnscout.plans import catalogue, lake
 
-MODULES = (catalogue,)
+MODULES = (catalogue, lake)
 
 
 def queries() -> dict:
