@@ -39,7 +39,7 @@ def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
 
 def masks(edges: DataFrame) -> DataFrame:
     """(src, dst, mask): all relations of a pair as bits of one number."""
-    return edges.groupBy("src", "dst").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("relation"))).alias("mask"))
+    return edges.groupBy("src", "dst").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("relation").cast("int"))).alias("mask"))
 
 
 def mask_neighbours(masked: DataFrame, nid: int, relation: int) -> DataFrame:

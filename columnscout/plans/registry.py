@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from columnscout.plans import catalogue, lake
+from columnscout.plans import catalogue, discovery, lake
 
-MODULES = (catalogue, lake)
+MODULES = (catalogue, lake, discovery)
 
 
 def queries() -> dict:
