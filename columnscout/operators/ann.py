@@ -116,7 +116,7 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int, distance: str
     Each block of rows keeps its own n best before the merge, and the queries are joined to every block by its number.
     """
     rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), F.col("id").alias("query"), F.col("v").alias("qv"))
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.col("id").alias("query"), F.col("v").alias("qv"))
     pairs = q.join(rows, "block").where("query <> id")
     scored = pairs.select("block", "query", "id", F.round(DISTANCES[distance]("qv", "v"), 9).alias("distance"))
     part = F.row_number().over(Window.partitionBy("query", "block").orderBy("distance", "id"))

@@ -208,7 +208,7 @@ def text_signature_terms(spark, sf_dir):
 
 def stored_signatures(spark, sf_dir):
     p = latest_rows(_t(spark, sf_dir, "profile"), ["id", "load_no"], "updated_at", ["received_at"]).select(F.col("id").alias("nid"), "load_no", F.col("dataType").alias("data_type"), "median", "iqr", F.col("minValue").alias("min_value"), F.col("maxValue").alias("max_value"))
-    return p.where("data_type = 'N'").select("nid", "load_no", "median", "iqr", "min_value", "max_value")
+    return p.where("data_type = 'N'").select("nid", "load_no", *(F.col(c).cast("double").alias(c) for c in ("median", "iqr", "min_value", "max_value")))
 
 
 def peek_values(spark, sf_dir):
@@ -379,7 +379,7 @@ select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
     "fuzzy_keyword": f"select nid, field_name, min(levenshtein(term, 'adress')) as edits from (select node_id as nid, node_name as field_name, unnest({_analyse('node_name')}) as term from nodes) group by 1, 2 having min(levenshtein(term, 'adress')) <= 2",
     "suggest_schema": "select node_name as field_name, min(levenshtein(lower(left(node_name, 5)), 'shift')) as edits from nodes where node_name is not null group by 1 having edits <= 2 order by edits, field_name limit 10",
     "text_signature_terms": f"with {CUR} select nid, term, count(*) as tf from (select nid, unnest({_analyse('v')}) as term from val where v is not null) where length(term) > 3 and not regexp_matches(term, '[0-9]') group by 1, 2 having count(*) > 3",
-    "stored_signatures": "select id as nid, load_no, median, iqr, minValue as min_value, maxValue as max_value from (select * from profile where id is not null and load_no is not null qualify row_number() over (partition by id, load_no order by updated_at desc nulls last, received_at desc nulls last) = 1) where dataType = 'N'",
+    "stored_signatures": "select id as nid, load_no, median::double as median, iqr::double as iqr, minValue as min_value, maxValue as max_value from (select * from profile where id is not null and load_no is not null qualify row_number() over (partition by id, load_no order by updated_at desc nulls last, received_at desc nulls last) = 1) where dataType = 'N'",
     "peek_values": f"with {CUR}, u as (select distinct nid, v from val where v is not null and lower(trim(v, ' ')) not in ('', 'nan') and not regexp_full_match(v, '[+-]?[0-9]+(,[0-9]+)*(\\.[0-9]+)?')), r as (select *, row_number() over (partition by nid order by v) as k from u) select nid, string_agg(v, '|' order by v) as values from r where k <= 3 group by 1",
     "col_jaccard_change": f"with {LOADS}, j as (select coalesce(o.nid, w.nid) as nid, count(o.nid) as old_size, count(w.nid) as new_size, sum((o.nid is not null and w.nid is not null)::int)::bigint as shared from o full join w on o.nid = w.nid and o.value = w.value group by 1) select nid, old_size, new_size, shared, round(shared / (old_size + new_size - shared), 9) as jaccard from j",
     "new_and_removed_tables": "with a as (select distinct source_name from cells where load_no = 1), b as (select distinct source_name from cells where load_no = 2) select source_name, 'new' as change from b where source_name not in (select source_name from a where source_name is not null) union all select source_name, 'removed' from a where source_name not in (select source_name from b where source_name is not null)",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from columnscout.plans import catalogue, discovery, lake
+from columnscout.plans import catalogue, discovery, lake, search_views
 
-MODULES = (catalogue, lake, discovery)
+MODULES = (catalogue, lake, discovery, search_views)
 
 
 def queries() -> dict:
