@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from columnscout.plans.lineage import Stages
+
 GROUPS = ("compatible", "contained", "complementary", "contradictory")
 
 
@@ -100,8 +102,9 @@ def pair_relations(views: Mapping[str, DataFrame], key: str | None = None) -> Da
     curated = {n: curate(views[n]) for n in names}
     columns = curated[names[0]].columns
     key = key or most_likely_key(curated[names[0]])
+    spark = curated[names[0]].sparkSession
     tagged = reduce(DataFrame.unionByName, (v.select(F.lit(n).alias("view"), F.col(f"`{key}`").alias("key"), F.xxhash64(*columns).alias("h")) for n, v in curated.items()))
-    spark = tagged.sparkSession
+    tagged = Stages(spark, "views").write(tagged, "rows")  # read by each of the aggregates below
     pairs = spark.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1:]], "a string, b string")  # names only
     sizes = tagged.groupBy("view").agg(F.count("*").alias("n"))
     rows = tagged.groupBy("key", "h").agg(F.collect_set("view").alias("views"))

@@ -375,7 +375,7 @@ SQL = {
     "keyword_bm25": f"""with p as (select doc_id, term, count(*) as tf from (select doc_id, unnest({_analyse('text')}) as term from documents where text is not null) group by 1, 2),
 l as (select doc_id, sum(tf) as len from p group by 1), s as (select count(*) as n, avg(len) as al from l), q as (select * from p where term in ('ledger', 'warehouse', 'reloaded', '12', 'march')),
 f as (select term, count(*) as df from q group by 1)
-select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 6) as score from q join f using (term) join l using (doc_id), s group by 1 order by round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) desc, doc_id limit 20""",
+select doc_id, round(round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9), 6) as score from q join f using (term) join l using (doc_id), s group by 1 order by round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) desc, doc_id limit 20""",
     "fuzzy_keyword": f"select nid, field_name, min(levenshtein(term, 'adress')) as edits from (select node_id as nid, node_name as field_name, unnest({_analyse('node_name')}) as term from nodes) group by 1, 2 having min(levenshtein(term, 'adress')) <= 2",
     "suggest_schema": "select node_name as field_name, min(levenshtein(lower(left(node_name, 5)), 'shift')) as edits from nodes where node_name is not null group by 1 having edits <= 2 order by edits, field_name limit 10",
     "text_signature_terms": f"with {CUR} select nid, term, count(*) as tf from (select nid, unnest({_analyse('v')}) as term from val where v is not null) where length(term) > 3 and not regexp_matches(term, '[0-9]') group by 1, 2 having count(*) > 3",

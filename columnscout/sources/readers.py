@@ -85,4 +85,4 @@ for _kind in ("postgres", "sqlserver", "mysql", "oracle"):
 def session_catalogue(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """Tables and views of a database of the session's catalogue. Settings: database."""
     db = config.get("database") or spark.catalog.currentDatabase()
-    return {t.name: spark.table(f"`{db}`.`{t.name}`") for t in spark.catalog.listTables(db)}
+    return {t.name: spark.table(f"`{t.name}`" if t.isTemporary else f"`{db}`.`{t.name}`") for t in spark.catalog.listTables(db)}
