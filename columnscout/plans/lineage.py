@@ -40,13 +40,17 @@ class Stages:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/columnscout-{operator}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+        self.written = 0
         atexit.register(_delete, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write `df` as stage `name` and return a DataFrame that reads it."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        """Write `df` as stage `name` and return a DataFrame that reads it. A name used again doesn't touch the earlier stage, which `df` may read."""
+        self.written += 1
+        path = self.paths[name] = f"{self.root}/{self.written}-{name}"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
+        """Delete the latest stage of this name."""
+        _delete(self.spark, self.paths.pop(name))
