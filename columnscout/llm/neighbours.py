@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from columnscout.plans.lineage import Stages
 
 #: The quantisers are fitted on at most so many vectors, whatever the size of the collection.
-SAMPLE = 20_000
+SAMPLE = 40_000
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,8 @@ class Params:
     k: int = 5
     min_similarity: float | None = None
     list_size: int = 200
-    max_lists: int = 1024
-    probes: int = 8
+    max_lists: int = 2048
+    probes: int = 16
     parts: int = 16
     codes: int = 256
     shortlist: int = 128
@@ -110,14 +110,14 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
     """(id, neighbour, similarity, rank): for every usable vector its k most similar other vectors by cosine.
 
     Ties go to the smaller neighbour id. With `min_similarity` only neighbours of at least that
-    cosine count. Ids must be unique; rows with a null id or an unusable vector are left
-    out. Approximate: a neighbour in a list that isn't probed is missed; similarities are
+    cosine count. Repeated rows count once; rows with a null id or an unusable vector are left
+    out, and an empty input gives an empty result. Approximate: a neighbour in a list that isn't probed is missed; similarities are
     exact (double precision). Runs jobs to write the distinct vectors and to fit the index.
     """
     p, spark = params, vectors.sparkSession
     stages = Stages(spark, "neighbours")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    rows = stages.write(rows.withColumn("name", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)), "rows")
+    rows = stages.write(rows.withColumn("name", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)).dropDuplicates(["id", "name"]), "rows")
     first = Window.partitionBy("name").orderBy("id")
     few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= p.k + 1)
     entries = stages.write(few.groupBy("name").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "entries")

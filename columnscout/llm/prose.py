@@ -122,7 +122,7 @@ class Profiles:
             table[at // SIZE, at % SIZE, i] = np.fromiter(counts[k].values(), np.float64)
         seen = int((table.sum(axis=(0, 2)) > 0).sum()) or 1
         share = (table.sum(axis=0) + 0.5) / (table.sum(axis=(0, 1)) + 0.5 * seen)
-        self.q = ((table + 5 * share[None]) / (table.sum(axis=1, keepdims=True) + 5)).reshape(SIZE * SIZE, -1)
+        self.q = ((table + 5 * share[None]) / (table.sum(axis=1, keepdims=True) + 5)).reshape(SIZE * SIZE, len(self.kinds))
 
     def divergences(self, window: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """Size-weighted Jensen-Shannon divergence (nats a transition) of each window from each profile."""

@@ -167,7 +167,8 @@ def similar_pairs(records: DataFrame, id_col: str, values_col: str, threshold: f
 
     Within `records` id_a < id_b; with `other`, id_a is of `records` and id_b of `other`
     (same column names). A record's set is `normal_set` of its values; sets under `min_size` and
-    null ids or lists have no pairs. Ids must be unique in a table. Exact: no pair is lost, whatever the
+    null ids or lists have no pairs. Repeated rows count once, and an id with several different sets has the
+    pairs of each; an empty input gives an empty result. Exact: no pair is lost, whatever the
     sizes or frequencies. Records with the same set are joined once, as a class, and
     expanded at the end. Runs jobs to write the classes and count frequent tokens.
     """
@@ -213,7 +214,7 @@ def similar_pairs(records: DataFrame, id_col: str, values_col: str, threshold: f
     exact = exact.where(F.col("shared") >= F.ceil(F.lit(threshold / (1 + threshold)) * F.col("n") - 1e-9))
     linked = exact.select(F.col("s_id").alias("x"), F.col("id").alias("y"), "shared", (F.col("shared") / (F.col("n") - F.col("shared"))).alias("similarity"))
 
-    member = members.select("side", "id", F.xxhash64("class").alias("rep"))
+    member = members.select("side", "id", F.xxhash64("class").alias("rep")).distinct()
     left = member.where("side = 0").select(F.col("id").alias("id_a"), F.col("rep").alias("x"))
     right = member.where(f"side = {0 if other is None else 1}").select(F.col("id").alias("id_b"), F.col("rep").alias("y"))
     same = reps.select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.col("n").alias("shared"), F.lit(1.0).alias("similarity"))

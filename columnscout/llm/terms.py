@@ -27,7 +27,8 @@ def term_scores(terms: DataFrame, records: DataFrame, id_col: str = "id", term_c
     """(id, term, c, d, rarity, residual) for each term of each record.
 
     `terms` has one row for each occurrence; `records` one row for each record that
-    counts, with or without terms. Rows with a null id or term are no occurrences. A
+    counts, with or without terms; repeated and null ids of it count once and not at all. Rows with a null id
+    or term are no occurrences, and an empty input gives an empty result. A
     term in a large share of all records only widens the join's side with one row a
     term; occurrences are added up before they are shuffled.
     """
@@ -35,7 +36,7 @@ def term_scores(terms: DataFrame, records: DataFrame, id_col: str = "id", term_c
     counts = occurrences.groupBy("id", "term").agg(F.count("*").alias("c"))
     columns = counts.groupBy("term").agg(F.count("*").alias("d"), F.sum("c").alias("column_total"))
     rows = counts.groupBy("id").agg(F.sum("c").alias("row_total"))
-    n = records.agg(F.count("*").alias("n_records"))
+    n = records.agg(F.count_distinct(id_col).alias("n_records"))
     total = counts.agg(F.sum("c").alias("total"))
     joined = counts.join(columns, "term").join(rows, "id").crossJoin(F.broadcast(n)).crossJoin(F.broadcast(total))  # one row each
     expected = F.col("row_total") * F.col("column_total") / F.col("total")
