@@ -134,3 +134,9 @@ def prune(relations: DataFrame) -> list[str]:
     rows = relations.collect()
     gone = {r["b"] for r in rows if r["relation"] == "compatible"}
     return sorted({n for r in rows for n in (r["a"], r["b"])} - gone)
+
+
+def summary(relations: DataFrame) -> DataFrame:
+    """(relation, pairs, views): how many pairs are in each relation, and how many views take part."""
+    each = relations.select("relation", F.explode(F.array("a", "b")).alias("v"))
+    return relations.groupBy("relation").agg(F.count("*").alias("pairs")).join(each.groupBy("relation").agg(F.count_distinct("v").alias("views")), "relation")

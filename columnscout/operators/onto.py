@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnscout.functions.text import camel_to_snake, name_tokens
-from columnscout.functions.vectors import dot
+from columnscout.functions.vectors import dot, unit
 from columnscout.operators.search import fuzzy_terms
 
 #: Kinds of evidence.
@@ -88,6 +88,25 @@ def by_hierarchy(values: DataFrame, columns: DataFrame, vocabulary: DataFrame, l
     return hit.where(F.col("n") / F.col("size") > accept).join(columns.select("nid", *ELEMENT), "nid").select(*ELEMENT, *CLASS, F.lit("L7").alias("kind"), (F.col("n") / F.col("size")).alias("score"))
 
 
+def contexts(columns: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """L3: tables with the name tokens of all their columns, and classes with those of their name, parent and children; for `syntactic`."""
+    tables = columns.select("db_name", "source_name", F.lit("_").alias("field_name"), F.explode(F.concat(name_tokens(F.col("field_name")), name_tokens(F.col("source_name")))).alias("t"))
+    around = vocabulary.select("kr", "name", F.col("name").alias("x")).union(vocabulary.where("parent is not null").select("kr", "name", "parent")).union(vocabulary.where("parent is not null").select("kr", F.col("parent").alias("name"), F.col("name").alias("x")))
+    classes = around.select("kr", "name", F.explode(name_tokens(F.col("x"))).alias("t"))
+    return tables.groupBy(*ELEMENT).agg(F.collect_set("t").alias("tokens")), classes.groupBy(*CLASS).agg(F.collect_set("t").alias("tokens"))
+
+
+def coarse_hooks(elements: DataFrame, classes: DataFrame, embedding: DataFrame, least: float = 0.6) -> DataFrame:
+    """(element, class, score): tables and classes whose mean token vectors point the same way."""
+    def mean(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        v = df.select(*keys, F.explode("tokens").alias("token")).join(embedding, "token").select(*keys, F.posexplode("vector").alias("at", "x"))
+        each = v.groupBy(*keys, "at").agg(F.avg("x").alias("x"))
+        return each.groupBy(*keys).agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])).alias(name))
+
+    e, c = mean(elements, ELEMENT, "tokens"), mean(classes, CLASS, "tokens")
+    return _meet(e, c).withColumn("score", dot("tokens", "ctokens")).where(F.col("score") >= least).select(*ELEMENT, *CLASS, "score")
+
+
 def cohesive_groups(tokens: DataFrame, embedding: DataFrame, least: float = 0.5) -> DataFrame:
     """(source_name, token, cohesion): name tokens of a table's columns whose mean similarity to the table's other tokens is at least `least`."""
     t = tokens.select("source_name", F.explode("tokens").alias("token")).distinct().join(embedding, "token")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from columnscout.functions.numbers import is_blank, is_integer, is_numerical, to_integer, to_number
+from columnscout.operators import quality
 
 COLUMNS = "nid long, db_name string, source_name string, field_name string, path string"
 
@@ -56,11 +57,13 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("nid", "value").agg(F.count("*").alias("n"))
 
 
-def infer_types(counts: DataFrame) -> DataFrame:
+def infer_types(counts: DataFrame, text_only: bool = False) -> DataFrame:
     """(nid, data_type): STRING if any cell that isn't blank isn't numeric, else FLOAT if any isn't an integer, else INT; all blank is STRING.
 
-    compat: all rows are looked at, not only a first batch.
+    With `text_only` every column is STRING. compat: all rows are looked at, not only a first batch.
     """
+    if text_only:
+        return counts.select("nid", F.lit("STRING").alias("data_type")).distinct()
     seen = ~is_blank(F.col("value"))
     agg = counts.groupBy("nid").agg(
         F.max(seen).alias("any"), F.max(seen & ~is_numerical(F.col("value"))).alias("text"), F.max(seen & ~is_integer(F.col("value"))).alias("fraction"))
@@ -68,6 +71,24 @@ def infer_types(counts: DataFrame) -> DataFrame:
     return agg.select("nid", kind.alias("data_type"))
 
 
+def nearest_ranks(steps: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
+    """(nid, q, v): exact nearest-rank quantiles of non-negative whole numbers (nid, v, n), v occurring n times.
+
+    First the bucket of each quantile is found among at most 64 x 1024 buckets a column (by leading bits, in order), then only the values of
+    that bucket are sorted: no column is sorted in one task.
+    """
+    bits = F.length(F.bin("v"))
+    lead = F.when(bits <= 11, F.col("v")).otherwise((bits - 11) * 1024 + F.call_function("shiftright", F.col("v"), (bits - 11).cast("int")))
+    s = steps.withColumn("bucket", lead.cast("long"))
+    order = Window.partitionBy("nid").orderBy("bucket")
+    buckets = s.groupBy("nid", "bucket").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("whole", F.sum("m").over(Window.partitionBy("nid")))
+    each = buckets.withColumn("q", F.explode(F.array(*(F.lit(q) for q in quantiles)))).withColumn("rank", F.ceil(F.col("q") * F.col("whole")))
+    aimed = each.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank"))).select("nid", "bucket", "q", "rank", (F.col("upto") - F.col("m")).alias("below"))
+    within = Window.partitionBy("nid", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    found = s.join(aimed, ["nid", "bucket"]).withColumn("at", F.col("below") + F.sum("n").over(within))
+    return found.where(F.col("at") >= F.col("rank")).groupBy("nid", "q").agg(F.min("v").alias("v"))
+
+
 def profile(counts: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Exact profile of each column: (nid, data_type N or T, total_values, unique_values, uniqueness, min_value, max_value, avg_value, stddev, q25, median, q75, iqr).
 
@@ -86,11 +107,7 @@ def profile(counts: DataFrame, types: DataFrame | None = None) -> DataFrame:
         mean.alias("avg_value"), (F.sum(F.col("number") * F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))).alias("square"))
     base = base.withColumn("stddev", F.sqrt(F.greatest(F.col("square") - F.col("avg_value") * F.col("avg_value"), F.lit(0.0)))).drop("square")
     steps = typed.where("number is not null").groupBy("nid", F.abs(F.col("number").cast("long")).alias("v")).agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("nid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("n").over(Window.partitionBy("nid"))
-    ranked = steps.withColumn("upto", upto).withColumn("whole", whole)
-    quantile = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("whole")), F.col("v")))
-    quantiles = ranked.groupBy("nid").agg(quantile(0.25).alias("q25"), quantile(0.5).alias("median"), quantile(0.75).alias("q75"))
+    quantiles = nearest_ranks(steps, (0.25, 0.5, 0.75)).groupBy("nid").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("v")).toDF("nid", "q25", "median", "q75")
     out = base.join(quantiles, "nid", "left")
     return out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("uniqueness", F.col("unique_values") / F.col("total_values"))
 
@@ -163,12 +180,11 @@ def entities(counts: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def kolmogorov_smirnov(counts: DataFrame, a: int, b: int) -> DataFrame:
-    """One row (statistic): the largest difference between the distribution functions of two numeric columns."""
-    rows = counts.where(F.col("nid").isin(a, b)).select("nid", to_number(F.col("value")).alias("v"), "n").where("v is not null")
-    total = rows.groupBy("nid").agg(F.sum("n").alias("of"))
-    steps = rows.join(F.broadcast(total), "nid").groupBy("v").agg(F.sum(F.when(F.col("nid") == a, F.col("n") / F.col("of")).otherwise(-F.col("n") / F.col("of"))).alias("step"))  # two rows
-    run = F.sum("step").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select(F.abs(run).alias("d")).agg(F.max("d").alias("statistic"))
+    """One row (statistic): the largest difference between the distribution functions of two different numeric columns; none if one is empty. Long columns are summed in ranges."""
+    load = F.when(F.col("nid") == a, 1).otherwise(2)
+    values = counts.where(F.col("nid").isin(a, b)).select(F.lit(0).cast("long").alias("nid"), load.alias("load_no"), "value", to_number(F.col("value")).alias("number"), "n").where("number is not null")
+    loads = quality.with_previous(quality.column_profile(values))
+    return quality.distribution_distance(values, loads, least=1).select(F.col("distance").alias("statistic"))
 
 
 def value_overlap(counts: DataFrame, a: int, b: int, share: float = 0.4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnscout.functions.text import name_tokens
+from columnscout.operators import ann
 
 #: Numbers of the relation types.
 RELATIONS = {"SCHEMA": 0, "SCHEMA_SIM": 1, "CONTENT_SIM": 2, "ENTITY_SIM": 3, "PKFK": 5, "INCLUSION_DEPENDENCY": 6, "MEANS_SAME": 10, "MEANS_DIFF": 11,
@@ -116,7 +117,11 @@ def numeric_signature_similarity(profile: DataFrame, eps: float = 0.3) -> DataFr
 def tfidf(names: DataFrame, id_col: str = "nid", tokens_col: str = "tokens") -> DataFrame:
     """(id, token, weight): (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to unit length for each id."""
     tf = names.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    n = names.agg(F.count("*").alias("docs"))
+    return _weights(tf, names.agg(F.count("*").alias("docs")), id_col)
+
+
+def _weights(tf: DataFrame, n: DataFrame, id_col: str) -> DataFrame:
+    """`tfidf` of counted tokens (id, token, tf), of n documents."""
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     raw = tf.join(df, "token").crossJoin(F.broadcast(n)).withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # one row
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
@@ -155,6 +160,30 @@ def schema_similarity(columns: DataFrame, least: float = 0.8, k: int | None = 10
     return token_similarity(tfidf(tokens), least, k)
 
 
+def text_similarity(signatures: DataFrame, least: float = 0.7, k: int | None = None) -> DataFrame:
+    """(src, dst, score): columns with similar content, by cosine of TF-IDF over their terms (nid, term, tf); exact."""
+    tf = signatures.select(F.col("nid").alias("id"), F.col("term").alias("token"), "tf")
+    return token_similarity(_weights(tf, tf.agg(F.count_distinct("id").alias("docs")), "nid"), least, k)
+
+
+def reduced_vectors(names: DataFrame, dimensions: int = 16, buckets: int = 256, id_col: str = "nid", tokens_col: str = "tokens") -> DataFrame:
+    """(id, v): latent vectors of token bags: hashed TF-IDF on its principal components, for `ann` hashes. The matrix that is decomposed has `buckets` columns, however many tokens there are."""
+    from pyspark.ml.feature import IDF, PCA, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    tf = HashingTF(numFeatures=buckets, inputCol=tokens_col, outputCol="__tf").transform(names.select(id_col, tokens_col))
+    weighted = IDF(inputCol="__tf", outputCol="__w").fit(tf).transform(tf)
+    return PCA(k=dimensions, inputCol="__w", outputCol="__p").fit(weighted).transform(weighted).select(F.col(id_col).alias("id"), vector_to_array("__p").alias("v"))
+
+
+def hashed_similarity(vectors: DataFrame, bits: int = 8, tables: int = 6, least: float = 0.8, k: int = 10, seed: int = 1) -> DataFrame:
+    """(src, dst, score): approximate twin of `schema_similarity` over vectors (id, v): nearest k of the bucket-mates of random hyperplane hashes; score is 1 - cosine distance."""
+    dim = len(vectors.select("v").first()["v"])
+    stored = ann.buckets(vectors.where(F.exists("v", lambda x: x != 0)), [ann.binary_projections(f"h{i}", bits, dim, seed + i) for i in range(tables)], "id", "v")
+    near = ann.search(stored, stored, k, include_self=False)
+    return near.select(F.col("query").alias("src"), F.col("id").alias("dst"), (1 - F.col("distance")).alias("score")).where(F.col("score") >= least)
+
+
 def entity_similarity(entities: DataFrame, least: float = 0.8) -> DataFrame:
     """(src, dst, score): columns with similar entity sets, by the same cosine."""
     return token_similarity(tfidf(entities.groupBy("nid").agg(F.collect_list("entity").alias("tokens"))), least)

@@ -116,3 +116,9 @@ def peek_values(values: DataFrame, k: int = 15, id_col: str = "nid", value_col:
     v = values.where(~is_blank(F.col(value_col)) & ~is_numerical(F.col(value_col))).select(id_col, value_col).distinct()
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(value_col))
     return v.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(id_col).agg(F.array_sort(F.collect_list(value_col)).alias("values"))
+
+
+def for_client(hits: DataFrame, columns: DataFrame, values: DataFrame, k: int = 15) -> DataFrame:
+    """(source_name, field_name, selected, values): all columns of the hits' tables, whether a hit names them, and k sample values of text columns."""
+    c = columns.join(hits.select("source_name").distinct(), "source_name", "left_semi").join(hits.select("nid").distinct().withColumn("selected", F.lit("Y")), "nid", "left")
+    return c.join(peek_values(values, k), "nid", "left").select("source_name", "field_name", F.coalesce("selected", F.lit("N")).alias("selected"), "values")

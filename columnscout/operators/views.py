@@ -116,6 +116,12 @@ def join_graphs(group: Sequence[str], paths: Mapping[tuple[str, str], Sequence[S
     return sorted(found.values(), key=lambda g: (len(g), sorted(j.canonical() for j in g)))
 
 
+def rank_join_graphs(graphs: Sequence[Sequence[Join]], uniqueness: Mapping[tuple[str, str], float]) -> list[tuple[float, list[Join]]]:
+    """Join graphs by the mean, over their joins, of the greater uniqueness of the two keys, best first; ties by name."""
+    score = lambda g: sum(max(uniqueness.get((j.left, j.left_key), 0.0), uniqueness.get((j.right, j.right_key), 0.0)) for j in g) / max(1, len(g))
+    return sorted(((score(g), list(g)) for g in graphs), key=lambda x: (-x[0], graph_id(x[1])))
+
+
 def graph_id(joins: Sequence[Join]) -> str:
     """A name of the join graph that doesn't depend on the order of its joins."""
     return "|".join(sorted("=".join(f"{t}.{k}" for t, k in j.canonical()) for j in joins))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from columnscout.functions.latest import latest_rows
+from columnscout.functions.text import name_tokens
 from columnscout.operators import annotations as A
 from columnscout.operators import drift, graph, onto, relate, search
 from columnscout.operators.drs import Drs
-from columnscout.plans.lineage import Stages
+from columnscout.plans.lineage import Stages, shared_folder
+from columnscout.streaming import profile as stream
 from columnscout.streaming.profile import windowed_counts
 
 
@@ -206,6 +210,18 @@ def text_signature_terms(spark, sf_dir):
     return search.text_signatures(search.postings(values))
 
 
+def text_term_sim(spark, sf_dir):
+    """Columns with similar content by their frequent terms."""
+    return relate.text_similarity(text_signature_terms(spark, sf_dir), 0.7).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+def schema_sim_hashed(spark, sf_dir):
+    """Stored columns with similar names, by hashes of latent vectors of their name tokens."""
+    names = columns_of(spark, sf_dir).where("field_name is not null").select(name_tokens(F.lower("field_name")).alias("tokens")).where("size(tokens) > 0").distinct()
+    v = Stages(spark, "latent").write(relate.reduced_vectors(names.select(F.xxhash64("tokens").alias("nid"), "tokens")), "v")
+    return relate.hashed_similarity(v)
+
+
 def stored_signatures(spark, sf_dir):
     p = latest_rows(_t(spark, sf_dir, "profile"), ["id", "load_no"], "updated_at", ["received_at"]).select(F.col("id").alias("nid"), "load_no", F.col("dataType").alias("data_type"), "median", "iqr", F.col("minValue").alias("min_value"), F.col("maxValue").alias("max_value"))
     return p.where("data_type = 'N'").select("nid", "load_no", *(F.col(c).cast("double").alias(c) for c in ("median", "iqr", "min_value", "max_value")))
@@ -303,6 +319,16 @@ def match_precision_recall(spark, sf_dir):
 
 
 # --- events ---
+def stream_profile(spark, sf_dir):
+    """The cells as a stream of micro-batches whose sketches are merged."""
+    root = f"{shared_folder(spark)}/columnscout-stream-{uuid.uuid4().hex}"
+    live = spark.readStream.schema(_t(spark, sf_dir, "cells").schema).parquet(f"{sf_dir}/cells.parquet*")  # a file or a folder
+    q = stream.start(live.select("nid", "value"), f"{root}/out", f"{root}/ck")
+    q.processAllAvailable()
+    q.stop()
+    return stream.read_sketches(stream.merge_sketches(spark.read.parquet(f"{root}/out")))
+
+
 def events_windowed(spark, sf_dir):
     return windowed_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", "2 hours").select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n")
 
@@ -310,8 +336,8 @@ def events_windowed(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     neighbors_pkfk, neighbors_content, edge_masks, table_neighbors, traverse_2hop, khop_reachability, all_paths, shortest_paths, table_paths, degree_topk, relation_report, enumerate_content, synthetic_network,
     drs_union, drs_intersection_fields, drs_intersection_table, drs_difference, drs_sources, drs_inclusion, provenance_edges, why, how, coverage_rank, certainty_rank, table_rank,
-    exact_attribute, keyword_names, keyword_content, keyword_bm25, fuzzy_keyword, suggest_schema, text_signature_terms, stored_signatures, peek_values, minhash_lsh_pairs,
-    col_jaccard_change, new_and_removed_tables, md_search, md_tags, md_comments, name_class_match, ancestor_pairs, ancestor_summary, is_a_links, match_precision_recall, events_windowed)}
+    exact_attribute, keyword_names, keyword_content, keyword_bm25, fuzzy_keyword, suggest_schema, text_signature_terms, text_term_sim, schema_sim_hashed, stored_signatures, peek_values, minhash_lsh_pairs,
+    col_jaccard_change, new_and_removed_tables, md_search, md_tags, md_comments, name_class_match, ancestor_pairs, ancestor_summary, is_a_links, match_precision_recall, events_windowed, stream_profile)}
 
 G = """one as (select source_node_id as src, target_node_id as dst, relation_type as relation, weight::double as score from edges
   where source_node_id is not null and target_node_id is not null and relation_type is not null and source_node_id <> target_node_id
@@ -346,6 +372,10 @@ LOADS = "o as (select distinct nid, value from cells where load_no = 1 and value
 UP = "up as (select name, parent as ancestor, 1 as distance from voc where parent is not null union all select u.name, v.parent, distance + 1 from up u join voc v on v.name = u.ancestor where v.parent is not null)"
 
 SQL = {
+    "text_term_sim": f"""with {CUR}, tf as (select nid, term, count(*) as tf from (select nid, unnest({_analyse('v')}) as term from val where v is not null) where length(term) > 3 and not regexp_matches(term, '[0-9]') group by 1, 2 having count(*) > 3),
+n as (select count(distinct nid) as n from tf), d as (select term, count(*) as df from tf group by 1), w0 as (select nid, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) as w from tf join d using (term), n),
+w as (select nid, term, w / sqrt(sum(w * w) over (partition by nid)) as w from w0)
+select a.nid as src, b.nid as dst, round(round(sum(a.w * b.w), 9), 6) as score from w a join w b on a.term = b.term and a.nid <> b.nid group by 1, 2 having round(sum(a.w * b.w), 9) >= 0.7""",
     "neighbors_pkfk": f"with {G} select src as origin, dst as nid, round(score, 4) as score from g join ks on src = nid where relation = 5",
     "neighbors_content": f"with {G} select src as origin, dst as nid, round(score, 4) as score from g join ks on src = nid where relation = 2 and dst not in (select nid from ks)",
     "edge_masks": f"with {G} select src, dst, bit_or(1::bigint << relation) as mask from g group by 1, 2",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from columnscout.operators import ann, fourc, views
+from columnscout.operators import ann, fourc, relate, views
 from columnscout.operators.views import Filter, Join
+from columnscout.plans import lake
+from columnscout.plans import view_search as view_search_plan
 from columnscout.plans.lineage import Stages
 
 
@@ -66,6 +68,14 @@ def view_join_graphs(spark, sf_dir):
     return spark.createDataFrame([(views.graph_id(g), len(g)) for g in graphs], "graph string, joins int")
 
 
+def view_search(spark, sf_dir):
+    """n_name (holding NATION_0), c_name and o_orderpriority: the first view that the lake's key graph gives."""
+    m = lake.lake_model(spark, sf_dir)
+    tables = _tables(spark, sf_dir, *STAR)
+    keys = relate.edges_of({"PKFK": m.keys()})
+    return view_search_plan.first_view(tables, keys, m.columns, ["n_name", "c_name", "o_orderpriority"], ["NATION_0", "", ""])
+
+
 def consistent_sample(spark, sf_dir):
     a, b = views.consistent_sample(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), "o_custkey", "c_custkey", 1000)
     return a.select("o_custkey").join(b.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey")
@@ -101,6 +111,10 @@ def view_relations(spark, sf_dir):
     return fourc.pair_relations(_views(spark, sf_dir), "k")
 
 
+def view_summary(spark, sf_dir):
+    return fourc.summary(fourc.pair_relations(_views(spark, sf_dir), "k"))
+
+
 def curate_view(spark, sf_dir):
     v = _t(spark, sf_dir, "edges").select("source_node_id", "relation_type")
     return fourc.curate(v)
@@ -191,8 +205,8 @@ def recall_precision(spark, sf_dir):
     return ann.recall_precision(ann.search(q, b, include_self=False), ann.exact_nearest(v.where("id % 50 = 0"), v, 10))
 
 
-QUERIES = {f.__name__: f for f in (filter_tables, candidate_groups, join_hop, view_two_tables, view_three_tables, view_join_graphs, consistent_sample, find_key_for, value_in_column, view_describe, table_cleanliness,
-                                   view_relations, curate_view, view_uniqueness, view_contradictory, inconsistent_on_key, knn_cosine_x, knn_euclid_x, knn_manhattan_x, rbp_buckets, rdp_buckets, pca_buckets, rbp_tree,
+QUERIES = {f.__name__: f for f in (filter_tables, candidate_groups, join_hop, view_two_tables, view_three_tables, view_join_graphs, view_search, consistent_sample, find_key_for, value_in_column, view_describe, table_cleanliness,
+                                   view_relations, view_summary, curate_view, view_uniqueness, view_contradictory, inconsistent_on_key, knn_cosine_x, knn_euclid_x, knn_manhattan_x, rbp_buckets, rdp_buckets, pca_buckets, rbp_tree,
                                    hamming1_probe, hamming2_permuted, distance_threshold, recall_precision)}
 
 

@@ -230,3 +230,32 @@ def test_latest_rows(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "b"), (1, None, "c"), (None, 9, "d")], "k long, t long, v string")
     assert [tuple(r) for r in latest_rows(df, ["k"], "t", ["v"]).collect()] == [(1, 7, "b")]
     assert latest_rows(df.limit(0), ["k"], "t").count() == 0
+
+
+def test_context_and_coarse_matching(spark):
+    columns = spark.createDataFrame([("d", "prices", "unitPrice"), ("d", "prices", "amount")], "db_name string, source_name string, field_name string")
+    v = spark.createDataFrame([("k", "amount", "money"), ("k", "price", "money"), ("k", "money", None)], "kr string, name string, parent string")
+    tables, classes = onto.contexts(columns, v)
+    assert ("money", "L3") in {(r.name, r.kind) for r in onto.syntactic(tables, classes, "L3", 0.2).collect()}
+    e = spark.createDataFrame([("price", [0.0, 1.0]), ("amount", [0.1, 1.0]), ("money", [0.0, 1.0])], "token string, vector array<double>")
+    assert onto.coarse_hooks(tables, classes, e).where("name = 'money'").count() == 1
+
+
+def test_latent_names(spark):
+    names = spark.createDataFrame([(1, ["unit", "price"]), (2, ["price", "unit"]), (3, ["owner"]), (4, ["zone"])], "nid long, tokens array<string>")
+    got = {(r.src, r.dst) for r in relate.hashed_similarity(relate.reduced_vectors(names, 3, 64)).collect()}
+    assert {(1, 2), (2, 1)} <= got and (1, 3) not in got
+
+
+def test_ranking_of_join_graphs():
+    a, b = [Join("t", "x", "u", "y")], [Join("t", "x", "u", "z")]
+    assert [g for _, g in views.rank_join_graphs([a, b], {("u", "z"): 0.9, ("t", "x"): 0.1})] == [b, a]
+
+
+def test_nearest_ranks_of_wide_numbers(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.integers(0, 2**62, 300), rng.integers(0, 3000, 300), 2 ** np.arange(62), 2 ** np.arange(1, 62) - 1])
+    steps = spark.createDataFrame([(1, int(x), 1) for x in np.unique(v)] + [(2, 5, 1000)], "nid long, v long, n long")
+    qs, u = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), np.unique(v)
+    got = {(r.nid, r.q): r.v for r in profile.nearest_ranks(steps, qs).collect()}
+    assert got == {(1, q): int(u[int(np.ceil(q * len(u))) - 1]) for q in qs} | {(2, q): 5 for q in qs}

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from columnscout import cli
 from columnscout.operators import ann, graph, profile
 from columnscout.plans import model
 from columnscout.sources import config, readers, sinks
@@ -80,3 +81,18 @@ def test_stream_equals_batch(spark, tmp_path):
     for nid, r in merged.items():
         assert (r.total, r.min_value, r.max_value) == (batch[nid].total, batch[nid].min_value, batch[nid].max_value)
         assert r.uniques == pytest.approx(batch[nid].uniques, rel=0.05)
+
+
+def test_command_line(spark, small, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("COLUMNSCOUT_HOME", str(tmp_path))
+    assert cli.main(["add-db", "lake", "parquet", json.dumps({"path": small, "tables": ["nation", "customer"], "password": "x"})]) == 0
+    cli.main(["list-sources"])
+    cli.main(["show-source", "lake"])
+    assert "password" not in capsys.readouterr().out
+    cli.main(["build-model", "lake", "m"])
+    cli.main(["explore-model", "m", "--keyword", "nationkey"])
+    assert "customer" in capsys.readouterr().out
+    cli.main(["export-model", "m", f"{tmp_path}/out"])
+    cli.main(["clear-store", "m"])
+    cli.main(["list-models"])
+    assert capsys.readouterr().out.strip() == ""
