@@ -11,6 +11,7 @@ each token's successors; with equal weights it misplaces several times as many s
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,6 +53,10 @@ LABELLED = 20_000
 PROFILE_WEIGHT = 10_000.0
 #: A unit's distribution takes in its neighbours on either side with these weights.
 NEIGHBOURS = {0: 1.0, 1: 0.5, 2: 0.25}
+#: A unit of more characters is cut: memory must not follow the length of a line.
+LONGEST = 4000
+#: Divergences are computed for so many transitions at a time.
+SLICE = 300_000
 #: From this occurrence in a text on, a unit is mere repetition.
 REPEATED = 3
 
@@ -102,7 +107,8 @@ _CLASSES = _Classes()
 
 def units(text: str) -> list[str]:
     """Lines with their ends, and within a line sentences; together they are the text with its line ends made alike."""
-    return [u for u in _UNIT.split(text.replace("\r\n", "\n").replace("\r", "\n")) if u]
+    parts = _UNIT.split(text.replace("\r\n", "\n").replace("\r", "\n"))
+    return [u[i : i + LONGEST] for u in parts for i in range(0, len(u), LONGEST)]
 
 
 def transitions(unit: str) -> list[int]:
@@ -141,9 +147,35 @@ class Profiles:
         return (out + rest[:, None]) / np.maximum(total, 1e-9)[:, None]
 
 
+def _slices(ends: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of units with about SLICE transitions each."""
+    a = 0
+    for b in range(1, len(ends)):
+        if ends[b] - ends[a] >= SLICE or b == len(ends) - 1:
+            yield a, b
+            a = b
+
+
+def _unit_divergences(profiles: Profiles, doc: np.ndarray, code: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Divergences of the units a to b - 1, each with its neighbours of the same document."""
+    reach = max(NEIGHBOURS)
+    first, last = max(0, a - reach), min(len(doc), b + reach)
+    unit, own = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1])), code[ends[first] : ends[last]]
+    windows, codes, weights = [], [], []
+    for distance, weight in NEIGHBOURS.items():
+        for shift in {distance, -distance}:
+            target = unit + shift
+            fine = (target >= a) & (target < b)
+            fine[fine] = doc[target[fine]] == doc[unit[fine]]
+            windows.append(target[fine] - a)
+            codes.append(own[fine])
+            weights.append(np.full(int(fine.sum()), weight))
+    return profiles.divergences(np.concatenate(windows), np.concatenate(codes), np.concatenate(weights), b - a)
+
+
 def _measure(profiles: Profiles, texts: list[str | None]) -> list[tuple]:
     """(share of running sentences, nearest kind, its share, mean divergence from prose) of each text; nulls for blank ones."""
-    doc, size, again, codes, ends = [], [], [], [], [0]
+    doc, size, again, codes, ends = [], [], [], array("q"), [0]
     for i, text in enumerate(texts):
         if text is None or not text.strip():
             continue
@@ -153,23 +185,13 @@ def _measure(profiles: Profiles, texts: list[str | None]) -> list[tuple]:
             doc.append(i)
             size.append(len(unit))
             again.append(bool(name) and seen[name] >= REPEATED)
-            codes += transitions(unit)
+            codes.extend(transitions(unit))
             ends.append(len(codes))
     out: list[tuple] = [(None, None, None, None)] * len(texts)
     if not doc or "prose" not in profiles.kinds:
         return out
-    doc_, size_, code, n = np.array(doc), np.array(size, float), np.array(codes, np.int64), len(doc)
-    unit = np.repeat(np.arange(n), np.diff(ends))
-    windows, all_codes, weights = [], [], []
-    for distance, weight in NEIGHBOURS.items():
-        for shift in {distance, -distance}:
-            target = unit + shift
-            fine = (target >= 0) & (target < n)
-            fine[fine] = doc_[target[fine]] == doc_[unit[fine]]
-            windows.append(target[fine])
-            all_codes.append(code[fine])
-            weights.append(np.full(int(fine.sum()), weight))
-    d = profiles.divergences(np.concatenate(windows), np.concatenate(all_codes), np.concatenate(weights), n)
+    doc_, size_, code, n = np.array(doc), np.array(size, float), np.frombuffer(codes, np.int64), len(doc)
+    d = np.concatenate([_unit_divergences(profiles, doc_, code, np.array(ends), a, b) for a, b in _slices(ends)])
     nearest = d.argmin(axis=1)
     junk = profiles.kinds.index("junk") if "junk" in profiles.kinds else -1
     nearest[np.array(again)] = junk
