@@ -39,11 +39,11 @@ def syntactic(elements: DataFrame, classes: DataFrame, kind: str, least: float =
     return pairs.withColumn("score", score).where(F.col("score") >= least - 1e-9).select(*ELEMENT, *CLASS, F.lit(kind).alias("kind"), "score")
 
 
-def semantic(elements: DataFrame, classes: DataFrame, embedding: DataFrame, positive: float = 0.5, negative: float = 0.4, unknown_penalty: float = 0.0, ban_shared: bool = False) -> DataFrame:
+def semantic(elements: DataFrame, classes: DataFrame, embedding: DataFrame, positive: float = 0.5, negative: float = 0.4, unknown_penalty: float = 0.0, ban_shared: bool = False, how: str = "avg") -> DataFrame:
     """(element, class, score, signal): mean similarity of the token pairs; signal is 1 from `positive` on, -1 below `negative`, else 0.
 
     `embedding` is (token, vector) with unit vectors; pairs with an unknown token count as `unknown_penalty`. L42 and L52, and with
-    ban_shared without the tokens that both sides have.
+    ban_shared without the tokens that both sides have. `how` may be avg, max, min or median of the pairs.
     """
     pairs = _meet(elements, classes)
     if ban_shared:
@@ -51,7 +51,7 @@ def semantic(elements: DataFrame, classes: DataFrame, embedding: DataFrame, posi
     tokens = pairs.select(*ELEMENT, *CLASS, F.explode("tokens").alias("t"), "ctokens").select(*ELEMENT, *CLASS, "t", F.explode("ctokens").alias("u"))
     a, b = embedding.select(F.col("token").alias("t"), F.col("vector").alias("tv")), embedding.select(F.col("token").alias("u"), F.col("vector").alias("uv"))
     scored = tokens.join(a, "t", "left").join(b, "u", "left").withColumn("s", F.coalesce(F.when(F.col("t") == F.col("u"), F.lit(1.0)), dot("tv", "uv"), F.lit(unknown_penalty)))
-    out = scored.groupBy(*ELEMENT, *CLASS).agg(F.round(F.avg("s"), 9).alias("score"))
+    out = scored.groupBy(*ELEMENT, *CLASS).agg(F.round({"avg": F.avg, "max": F.max, "min": F.min, "median": F.median}[how]("s"), 9).alias("score"))
     return out.withColumn("signal", F.when(F.col("score") >= positive, 1).when(F.col("score") < negative, -1).otherwise(0))
 
 

@@ -26,3 +26,12 @@ def get_spark(master: str | None = None, app: str = "columnscout", **conf: str)
     for key, value in (CONF | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])

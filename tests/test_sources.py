@@ -9,6 +9,7 @@ from columnscout import cli
 from columnscout.operators import ann, graph, profile
 from columnscout.plans import model
 from columnscout.sources import config, readers, sinks
+from columnscout.sources.relations import Relations
 from columnscout.streaming import profile as stream
 
 
@@ -96,3 +97,10 @@ def test_command_line(spark, small, tmp_path, monkeypatch, capsys):
     cli.main(["clear-store", "m"])
     cli.main(["list-models"])
     assert capsys.readouterr().out.strip() == ""
+
+
+def test_relations_are_kept(spark, small):
+    r = Relations(spark)
+    assert r.get(f"{small}/region.parquet") is r.get(f"{small}/region.parquet") and r.get(f"{small}/region.parquet").is_cached
+    r.clear()
+    assert not r.held
