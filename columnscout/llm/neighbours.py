@@ -45,10 +45,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = _nearest(x, c, 1)[:, 0]
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
         n = np.bincount(near, minlength=k)
-        c[n > 0] = total[n > 0] / n[n > 0, None]
+        full, start = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
+        c[full] = np.add.reduceat(x[np.argsort(near, kind="stable")], start, axis=0) / n[full, None]
         c[n == 0] = x[rng.integers(0, len(x), int((n == 0).sum()))]
     return c
 
@@ -58,6 +57,9 @@ def _nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
     out, half = [], (c * c).sum(1) / 2
     for a in range(0, len(x), 8192):
         d = half - x[a : a + 8192] @ c.T
+        if m == 1:
+            out.append(d.argmin(axis=1)[:, None])
+            continue
         if m >= d.shape[1]:
             out.append(np.argsort(d, axis=1, kind="stable"))
             continue
