@@ -65,8 +65,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str, temperature: bool = False):
-    """Drawn texts, quotas and targets; by mix_targets, or tempered to the entropy of its shares."""
-    rows = _table(spark, sf_dir, "mix_targets").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most")).where("source <> ''").orderBy("source").collect()
+    """Drawn texts, quotas and targets; by mix_targets, or tempered to the entropy of its shares. A missing share is 0, a missing max_repeats 1."""
+    rows = _table(spark, sf_dir, "mix_targets").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("most")).where("source <> ''").orderBy("source").collect()
     targets, repeats = {r["source"]: r["share"] for r in rows}, {r["source"]: r["most"] for r in rows}
     stages = Stages(spark, "mixing")
     sized = stages.write(mixing.sized_texts(_table(spark, sf_dir, "documents"), list(targets)), "sized")
