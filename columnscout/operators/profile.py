@@ -34,7 +34,8 @@ def as_cell(column: Column, kind: T.DataType) -> Column:
     """A typed value as the string that the profiler sees; fractions without exponent, nested values as JSON."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         plain = F.regexp_replace(column.cast("decimal(38,9)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
-        return F.when(F.abs(column) < 1e28, F.regexp_replace(plain, r"\.$", ".0")).otherwise(column.cast("string"))
+        short = ((F.abs(column) >= 1e-3) & (F.abs(column) < 1e7)) | (column == 0)  # these have no exponent as they are
+        return F.when(short | (F.abs(column) >= 1e28), column.cast("string")).otherwise(F.regexp_replace(plain, r"\.$", ".0"))
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(column)
     return column.cast("string")
