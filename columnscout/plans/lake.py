@@ -50,7 +50,7 @@ def _unordered(named: DataFrame, *columns) -> DataFrame:
 
 def profile_numeric(spark, sf_dir):
     p = lake_model(spark, sf_dir).profile.where("data_type = 'N'")
-    return p.select("source_name", "field_name", "total_values", "unique_values", "min_value", "max_value", F.round("avg_value", 6).alias("avg_value"), F.round("stddev", 3).alias("stddev"), "q25", "median", "q75", "iqr")
+    return p.select("source_name", "field_name", "total_values", "unique_values", "min_value", "max_value", F.round("avg_value", 7).alias("avg_value"), F.round("stddev", 3).alias("stddev"), "q25", "median", "q75", "iqr")
 
 
 def profile_text(spark, sf_dir):
@@ -185,7 +185,7 @@ w0 as (select s, f, tok, (1 + ln(tf)) * (ln((1 + (select count(*) from nm)) / (1
 w as (select s, f, tok, w / sqrt(sum(w * w) over (partition by s, f)) as w from w0)"""
 
 SQL = {
-    "profile_numeric": f"with {NUMERIC} select source_name, field_name, total_values, unique_values, min_value, max_value, round(avg_value, 6) as avg_value, round(stddev, 3) as stddev, q25, median, q75, q75 - q25 as iqr from prof",
+    "profile_numeric": f"with {NUMERIC} select source_name, field_name, total_values, unique_values, min_value, max_value, round(avg_value, 7) as avg_value, round(stddev, 3) as stddev, q25, median, q75, q75 - q25 as iqr from prof",
     "profile_text": f"with {COUNTS} select source_name, field_name, total_values, unique_values from cnt where data_type = 'T'",
     "type_inference": "select * from (values " + ", ".join(f"('{t}', '{c}', '{dict(I='INT', F='FLOAT', T='STRING')[k]}')" for t, c, k in _EACH) + ") as x(source_name, field_name, data_type)",
     "uniqueness": f"with {COUNTS} select source_name, field_name, round(unique_values / total_values, 9) as uniqueness from cnt",
