@@ -3,8 +3,9 @@
 Inverted file of coarse centroids with product-quantised residuals. The index is fitted
 on a bounded sample; every vector is indexed. A query looks into the lists of its nearest centroids,
 scores their codes with asymmetric distance tables and reranks the shortlist
-with the exact vectors, which lie in the same block. Long lists are split into blocks.
-Exact copies are one entry of the index, with their k + 1 smallest ids.
+with the exact vectors, which lie in the same block; where the codes can't tell that the rest
+of the block is worse, all of it is reranked. Long lists are split into blocks.
+Vectors of one direction are one entry of the index, with their k + 1 smallest ids.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SAMPLE = 40_000
 
 @dataclass(frozen=True)
 class Params:
-    """probes: lists a query looks into; shortlist: entries of a block that are reranked; block: most entries of a list in one task."""
+    """probes: lists a query looks into; shortlist: entries of a block that are reranked at least; block: most entries of a list in one task."""
 
     k: int = 5
     min_similarity: float | None = None
@@ -68,6 +69,15 @@ def _nearest(x: np.ndarray, c: np.ndarray, m: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, m), np.int64)
 
 
+def _distinct(c: np.ndarray, least: float = 1e-5) -> np.ndarray:
+    """The centroids without those that coincide with an earlier one: rounding alone would deal near copies out to their lists."""
+    c, kept = c.astype(np.float64), []
+    for i in range(len(c)):
+        if not kept or ((c[kept] - c[i]) ** 2).sum(1).min() > least * least:
+            kept.append(i)
+    return c[kept]
+
+
 @dataclass(frozen=True)
 class Quantiser:
     """Coarse centroids (lists x dim), and for each part of the residual its codebook (parts x codes x width)."""
@@ -79,7 +89,7 @@ class Quantiser:
     def fit(x: np.ndarray, n: int, p: Params) -> Quantiser:
         rng = np.random.default_rng(p.seed)
         lists = int(np.clip(n // p.list_size, 1, min(p.max_lists, max(1, len(x) // 16))))
-        centroids = _kmeans(x, lists, rng)
+        centroids = _distinct(_kmeans(x, lists, rng))
         rest = x - centroids[_nearest(x, centroids, 1)[:, 0]]
         width = x.shape[1] // p.parts
         books = [_kmeans(rest[:, i * width : (i + 1) * width], p.codes, rng, 6) for i in range(p.parts)]
@@ -101,6 +111,36 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _direction(vector: str):
+    """Column: the vector over its largest magnitude in steps of 1e-14, equal for vectors that differ by an exact positive factor."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    # the largest is bound as a lambda variable: an expression in a lambda is computed again for each number
+    return F.transform(F.array(top), lambda t: F.transform(vector, lambda x: F.rint(x.cast("double") / t * 1e14).cast("long")))[0]
+
+
+def _rerank(x: np.ndarray, top: np.ndarray, store: np.ndarray, score: np.ndarray, err: np.ndarray, keep: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes into `store` (rows sorted by id) of the `keep` most similar rows for each query, and their cosines.
+
+    A cosine is at most the quantised score plus the length of the entry's quantisation error. Where that
+    leaves an entry outside the shortlist `top` a chance, the whole block is compared.
+    """
+    rows, keep = np.arange(len(x))[:, None], min(keep, len(store))
+    exact = np.einsum("qd,qsd->qs", x, store[top])
+    order = np.lexsort((top, -np.round(exact, 12)), axis=1)[:, :keep]
+    at, sim = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
+    bound = score + (err + 1e-5).astype(np.float32)  # 1e-5: rounding of single precision
+    bound[rows, top] = -np.inf
+    again = np.flatnonzero(bound.max(axis=1) >= np.maximum(sim[:, -1], low))
+    if len(again):
+        every = x[again] @ store.T
+        tied, here = np.round(every, 12), np.arange(len(again))
+        for j in range(keep):
+            best = tied.argmax(axis=1)  # the first of equal ones: the smallest id
+            at[again, j], sim[again, j] = best, every[here, best]
+            tied[here, best] = -np.inf
+    return at, sim
+
+
 def usable(vector: str, dim: int):
     """Column: the vector has `dim` numbers, all finite, and not all are zero."""
     v = F.col(vector)
@@ -113,16 +153,16 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
 
     Ties go to the smaller neighbour id. With `min_similarity` only neighbours of at least that
     cosine count. Repeated rows count once; rows with a null id or an unusable vector are left
-    out, and an empty input gives an empty result. Approximate: a neighbour in a list that isn't probed is missed; similarities are
-    exact (double precision). Runs jobs to write the distinct vectors and to fit the index.
+    out, and an empty input gives an empty result. Approximate only in this: a neighbour in a list that isn't probed is missed; similarities are
+    exact (double precision). Runs jobs to write the distinct directions and to fit the index.
     """
     p, spark = params, vectors.sparkSession
     stages = Stages(spark, "neighbours")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    rows = stages.write(rows.withColumn("name", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)).dropDuplicates(["id", "name"]), "rows")
+    rows = stages.write(rows.withColumn("name", F.sha2(F.array_join(_direction("v"), ","), 256)).dropDuplicates(["id", "name"]), "rows")
     first = Window.partitionBy("name").orderBy("id")
     few = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= p.k + 1)
-    entries = stages.write(few.groupBy("name").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "entries")
+    entries = stages.write(few.groupBy("name").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")), "entries")
     n = entries.count()
     if n == 0:
         return spark.createDataFrame([], "id long, neighbour long, similarity double, rank int")
@@ -160,8 +200,11 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
         a_ids, s_ids = left.column("entry").to_numpy(), right.column("stored").to_numpy()
         if len(a_ids) and len(s_ids):
             asks, store = _unit(_vectors(left.column("v").combine_chunks(), dim)), _unit(_vectors(right.column("stored_v").combine_chunks(), dim))
+            by_id = np.argsort(s_ids, kind="stable")
+            s_ids, store = s_ids[by_id], store[by_id]
             centre, width = q.centroids[key[0].as_py()], q.books.shape[2]
             codes = q.encode(store.astype(np.float32) - centre)
+            err = np.sqrt(((store - centre - np.concatenate([b[codes[:, i]] for i, b in enumerate(q.books)], axis=1)) ** 2).sum(1))
             short = min(max(p.shortlist, keep), len(s_ids))
             for a in range(0, len(a_ids), 512):
                 x = asks[a : a + 512]
@@ -170,9 +213,8 @@ def nearest_vectors(vectors: DataFrame, id_col: str, vector_col: str, dim: int,
                 for i, book in enumerate(q.books):  # asymmetric: exact query against each codeword, then a look-up by code
                     score += (x4[:, i * width : (i + 1) * width] @ book.T)[:, codes[:, i]]
                 top = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(s_ids) else np.broadcast_to(np.arange(len(s_ids)), (len(x), len(s_ids)))
-                exact = np.einsum("qd,qsd->qs", x, store[top])
-                order = np.lexsort((s_ids[top], -np.round(exact, 12)), axis=1)[:, :keep]
-                who, found, sim = np.repeat(a_ids[a : a + 512], order.shape[1]), s_ids[np.take_along_axis(top, order, 1)].ravel(), np.take_along_axis(exact, order, 1).ravel()
+                at, sim = _rerank(x, top, store, score, err, keep, low)
+                who, found, sim = np.repeat(a_ids[a : a + 512], at.shape[1]), s_ids[at].ravel(), sim.ravel()
                 fine = sim >= low
                 out.append((who[fine], found[fine], sim[fine]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]

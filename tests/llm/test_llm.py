@@ -184,6 +184,23 @@ def test_recall_and_copies(spark):
     assert set(got[got.id == 3].neighbour) == {0, 1, 2, 4, 5}  # of equal copies the smallest ids
 
 
+def test_neighbours_among_near_and_scaled_copies(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((3000, 16))
+    v[::3] = v[0] / np.linalg.norm(v[0]) + rng.standard_normal((1000, 16)) * 0.001
+    v[::6] = v[3] * rng.uniform(0.1, 9, (500, 1))
+    v[600:1200:6] = v[600] * 2.0 ** rng.integers(-3, 4, (100, 1))
+    v = v.astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "nid long, signature array<float>")
+    got = neighbours.nearest_vectors(df, "nid", "signature", 16).toPandas()
+    want = neighbours.brute_force(np.arange(3000), v.astype(float), 5)
+    hit = got.merge(want, on=["id", "neighbour"])
+    assert len(got) == len(want)
+    assert len(hit[hit.id % 3 == 0]) / (5 * 1000) >= 0.98
+    assert len(hit[hit.id % 6 == 0]) / (5 * 500) >= 0.98
+    assert len(hit) / len(want) >= 0.9
+
+
 def test_unusable_vectors(spark):
     ok, nan = [1.0, 2.0], float("nan")
     df = spark.createDataFrame([(1, ok), (2, [2.0, 4.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, ok), (9, [1e-30, 2e-30]), (1, ok)], "nid long, signature array<float>")
