@@ -90,7 +90,7 @@ def paths(sources: DataFrame, targets: DataFrame, edges: DataFrame, relation: in
 def table_paths(sources: list[str], targets: list[str], edges: DataFrame, columns: DataFrame, relation: int, max_hops: int = 2) -> DataFrame:
     """(source, target, hops, tables, joins): table-level paths; a hop goes from any column of a table over the relation to a column of a table not yet on the path.
 
-    `joins` has the (left column, right column) of every hop. `columns` is (nid, source_name). compat: all paths, shortest first.
+    A path ends at its own target, and may lead through other targets. `joins` has the (left column, right column) of every hop. `columns` is (nid, source_name). compat: all paths, shortest first.
     """
     c = columns.select("nid", "source_name")
     hop_edges = (edges.where(F.col("relation") == relation).select("src", "dst").distinct()
@@ -99,7 +99,7 @@ def table_paths(sources: list[str], targets: list[str], edges: DataFrame, column
     walk = spark.createDataFrame([(s, s, [s]) for s in dict.fromkeys(sources)], "source string, at string, tables array<string>").withColumn("joins", F.array().cast("array<struct<l:bigint,r:bigint>>"))
     found = []
     for hop in range(1, max_hops + 1):
-        walk = walk.where(~F.col("at").isin(targets) | (F.size("tables") == 1)).join(hop_edges, F.col("at") == F.col("t1")).where(~F.array_contains("tables", F.col("t2")))
+        walk = walk.join(hop_edges, F.col("at") == F.col("t1")).where(~F.array_contains("tables", F.col("t2")))
         walk = walk.select("source", F.col("t2").alias("at"), F.array_append("tables", F.col("t2")).alias("tables"), F.array_append("joins", F.struct(F.col("src").alias("l"), F.col("dst").alias("r"))).alias("joins"))
         found.append(walk.where(F.col("at").isin(targets)).select("source", F.col("at").alias("target"), F.lit(hop).alias("hops"), "tables", "joins"))
     return reduce(DataFrame.unionByName, found)

@@ -259,3 +259,10 @@ def test_nearest_ranks_of_wide_numbers(spark):
     qs, u = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), np.unique(v)
     got = {(r.nid, r.q): r.v for r in profile.nearest_ranks(steps, qs).collect()}
     assert got == {(1, q): int(u[int(np.ceil(q * len(u))) - 1]) for q in qs} | {(2, q): 5 for q in qs}
+
+
+def test_table_paths_lead_through_other_targets(spark):
+    c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "nid long, source_name string")
+    e = graph.undirected(spark.createDataFrame([(1, 2, 5, 1.0), (3, 4, 5, 1.0)], "source_node_id long, target_node_id long, relation_type int, weight double"))
+    got = graph.table_paths(["a"], ["b", "c"], e, c, 5, 2).collect()
+    assert sorted((r.target, r.hops, tuple(r.tables)) for r in got) == [("b", 1, ("a", "b")), ("c", 2, ("a", "b", "c"))]
