@@ -3,247 +3,191 @@
 A text is cut into units (lines, and sentences within lines). The function words of
 several languages stand for themselves and every other token for its character class; a
 unit and its neighbours give a distribution of the transitions between these. It is
-compared with structural profiles (prose, list, table, junk, made of labelled documents)
-through the Jensen-Shannon divergence, and the unit is assigned the nearest.
+compared with structural profiles (prose as a whole and of each language, list, table, junk; made of
+labelled documents) through the Jensen-Shannon divergence, and the unit is assigned the nearest.
+The tokens of a unit that its text repeats are of a class of their own, so that repetition is part of a profile.
 The divergence is weighted by sizes (a unit is small, a profile large) and taken for
 each token's successors; with equal weights it misplaces several times as many short units.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from columnscout.llm.byte_bpe import _blocks
+from columnscout.llm.shapes import IDS, SIZE, WORDS, Shapes, shapes
 
-#: Common function words by language.
-FUNCTION_WORDS = {
-    "en": "the of and a to in is it was that for on with as are be at by this from or which we not has have had but they their its were an been will there no all if more when who what so up out about into than them only some could would should may might can do does did before after because although while where how why you i he she your our my his her these those then most any every each other another between both until since unless whether nobody",
-    "de": "der die das und ist in zu den von mit nicht ein eine einer eines einem einen auf für sich als auch es an werden wird wurde wurden aus er sie hat haben dass nach bei um noch wie über im am zum zur so nur oder aber vor mehr durch man sein war waren wir ich ihr wenn weil obwohl diese dieser dieses kein keine niemand jede jeder bis seit ohne zwischen was wer",
-    "fr": "le la les de des du un une et est en que qui dans pour pas sur au aux avec ce cette ces il elle ils elles on nous vous je ne se sont par plus ou mais a ont été être sans comme si même entre parce lorsque quand leur leurs son sa ses y dont où personne chaque depuis",
-    "es": "el la los las de del y que en un una es se no por con para su sus al lo como más o pero ha han fue fueron son está sin sobre entre ya si cuando porque aunque este esta estos estas desde hasta nadie cada muy también donde quien hay",
-    "it": "il lo gli di che e è un una in per con non si da dei della delle nel nella sono ha hanno più ma come anche questo questa",
-    "pt": "o os as do da dos das um uma em para com não por mais como foi são mas ao ele ela seu sua ou quando muito nos já também só pelo pela até isso entre",
-    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als bij maar uit door over naar hij zij wij ze werd wordt deze dit geen nog",
-}
-#: Common Chinese function characters, and punctuation that stands for itself.
-FUNCTION_CHARACTERS = "的了是在和有不我这个也就都而及与着或一没为以对从到被把它那会能要很已但如果因可所上下中"
-PUNCTUATION = ".,;:!?|•*-=<>#\"'()[]{}/&+~_`“”…。，、；：！？"
-CLASSES = ["start", "new line", "tab", "spaces", "han", "lower", "lower, not ascii", "capitalised", "mixed case", "upper", "identifier", "dotted", "number", "large number", "date", "ascii symbol", "other symbol"]
 KINDS = ["prose", "list", "table", "junk"]
-
-WORDS = sorted({w for words in FUNCTION_WORDS.values() for w in words.split()})
-_IDS = {c: i for i, c in enumerate([*CLASSES, *PUNCTUATION, *FUNCTION_CHARACTERS])}
-_WORD_IDS = {w: len(_IDS) + i for i, w in enumerate(WORDS)}
-SIZE = len(_IDS) + len(_WORD_IDS)
-
-_TOKEN = regex.compile(r"\n[^\S\n]*|\t|\p{Han}|[\p{L}\p{M}]+(?:['’_.\-]?[\p{L}\p{M}\p{N}]+)*_*|\p{N}+(?:[.,:\-/]\p{N}+)*|\s{2,}|[^\s\p{L}\p{N}]")
-_UNIT = regex.compile(r"(?<=\n)|(?<=[.!?][\"”)]?\s)(?=\S)|(?<=[。！？])")
-
 #: Profiles are fitted on at most so many labelled documents.
 LABELLED = 20_000
+#: A language has a prose profile of its own from so many labelled documents on.
+LEAST_OF_LANGUAGE = 20
 #: What a profile weighs against a unit, in transitions out of a token.
 PROFILE_WEIGHT = 10_000.0
 #: A unit's distribution takes in its neighbours on either side with these weights.
 NEIGHBOURS = {0: 1.0, 1: 0.5, 2: 0.25}
-#: A unit of more characters is cut: memory must not follow the length of a line.
-LONGEST = 4000
+#: The prior weight, in transitions, of repetition in the junk profile, for labels that have no example of it.
+REPETITION = 5
 #: Divergences are computed for so many transitions at a time.
 SLICE = 300_000
-#: From this occurrence in a text on, a unit is mere repetition.
-REPEATED = 3
-
-
-def _class(token: str) -> int:
-    c = token[0]
-    if c in "\n\t":
-        return _IDS["new line" if c == "\n" else "tab"]
-    if c.isspace():
-        return _IDS["spaces"]
-    if c.isalpha():
-        if (own := _IDS.get(token)) is not None and len(token) == 1 and not c.isascii():
-            return own
-        if "一" <= c <= "鿿":
-            return _IDS["han"]
-        if (own := _WORD_IDS.get(token.lower())) is not None:
-            return own
-        if "_" in token or any(x.isdigit() for x in token):
-            return _IDS["identifier"]
-        if token.isupper() and len(token) > 1:
-            return _IDS["upper"]
-        if "." in token:
-            return _IDS["dotted"]
-        if not (c.isascii() and token.isascii()):
-            return _IDS["lower, not ascii"] if token.islower() or not c.isascii() else _IDS["capitalised" if token[1:].islower() else "mixed case"]
-        if c.isupper():
-            return _IDS["capitalised" if token[1:].islower() or len(token) == 1 else "mixed case"]
-        return _IDS["lower" if token.islower() else "mixed case"]
-    if c.isnumeric():
-        if len(token) < 4 or (token.isdigit() and len(token) < 5):
-            return _IDS["number"]
-        return _IDS["date" if any(x in token for x in "-:/") else "large number"]
-    return _IDS[c] if c in PUNCTUATION else _IDS["ascii symbol" if c.isascii() else "other symbol"]
-
-
-class _Classes(dict):
-    """Class of a token, remembered."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = kind = _class(token)
-        return kind
-
-
-_CLASSES = _Classes()
-
-
-def units(text: str) -> list[str]:
-    """Lines with their ends, and within a line sentences; together they are the text with its line ends made alike."""
-    parts = _UNIT.split(text.replace("\r\n", "\n").replace("\r", "\n"))
-    return [u[i : i + LONGEST] for u in parts for i in range(0, len(u), LONGEST)]
-
-
-def transitions(unit: str) -> list[int]:
-    """Codes of the transitions between the classes of a unit's tokens, from its start on."""
-    ids = [0, *(_CLASSES[t] for t in _TOKEN.findall(unit))]
-    return [a * SIZE + b for a, b in zip(ids, ids[1:])]
+#: Texts are measured in blocks of about so many bytes.
+BLOCK = 1 << 20
 
 
 class Profiles:
-    """Successor distributions of the structural profiles: q[transition, kind], smoothed by each kind's own token shares."""
+    """Successor distributions of the structural profiles: q[transition, profile], smoothed by each profile's own token shares.
+
+    Profiles are named by their kind, those of prose in a language by `prose` and the language.
+    """
 
     def __init__(self, counts: dict[str, dict[int, float]]):
-        self.kinds = [k for k in KINDS if counts.get(k)]
-        table = np.zeros((SIZE, SIZE, len(self.kinds)))
-        for i, k in enumerate(self.kinds):
+        self.counts = counts
+        self.names = sorted((k for k in counts if counts[k]), key=lambda k: (KINDS.index(k.split(" ")[0]), k))
+        self.kind = np.array([KINDS.index(k.split(" ")[0]) for k in self.names], np.int64)
+        table = np.zeros((SIZE, SIZE, len(self.names)))
+        for i, k in enumerate(self.names):
             at = np.fromiter(counts[k].keys(), np.int64)
             table[at // SIZE, at % SIZE, i] = np.fromiter(counts[k].values(), np.float64)
-        seen = int((table.sum(axis=(0, 2)) > 0).sum()) or 1
-        share = (table.sum(axis=0) + 0.5) / (table.sum(axis=(0, 1)) + 0.5 * seen)
-        self.q = ((table + 5 * share[None]) / (table.sum(axis=1, keepdims=True) + 5)).reshape(SIZE * SIZE, len(self.kinds))
+        share = (table.sum(axis=0) + 0.5) / (table.sum(axis=(0, 1)) + 0.5 * SIZE)
+        self.q = ((table + 5 * share[None]) / (table.sum(axis=1, keepdims=True) + 5)).reshape(SIZE * SIZE, len(self.names)).T.astype(np.float32)
+        self.log_q = np.log(self.q)
+
+    def __reduce__(self):
+        return Profiles, (self.counts,)  # the counts are far smaller than the tables
 
     def divergences(self, window: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        """Size-weighted Jensen-Shannon divergence (nats a transition) of each window from each profile."""
-        key, back = np.unique(window * (SIZE * SIZE) + code, return_inverse=True)
-        c = np.bincount(back, weights=weight)[:, None]
-        w, code = key // (SIZE * SIZE), key % (SIZE * SIZE)
-        contexts, back = np.unique(w * SIZE + code // SIZE, return_inverse=True)
-        held = np.bincount(back, weights=c[:, 0])
-        na, big = held[back][:, None], PROFILE_WEIGHT
-        p, q = c / na, self.q[code]
-        m = (na * p + big * q) / (na + big)
-        part = c * np.log(p / m) + big * q * (np.log(q / m) + np.log(big / (na + big)))
-        out = np.stack([np.bincount(w, weights=part[:, i], minlength=n) for i in range(part.shape[1])], axis=1)
-        rest = np.bincount(contexts // SIZE, weights=big * np.log((held + big) / big), minlength=n)
-        total = np.bincount(w, weights=c[:, 0], minlength=n)
-        return (out + rest[:, None]) / np.maximum(total, 1e-9)[:, None]
-
-
-def _slices(ends: list[int]) -> Iterator[tuple[int, int]]:
+        """Size-weighted Jensen-Shannon divergence (nats a transition) of each window from each profile.
+
+        `weight` is in quarters. With c of a window's na transitions out of a token, a profile's weight b and
+        r = c / (b q), the divergence of the two is the sum of c (ln(c / na) + ln((na + b) / b) - ln q) - (c + b q) ln(1 + r).
+        """
+        key = np.sort((window << 24) | (code << 3) | weight)  # 2 ** 21 transitions, windows in the bits above
+        name = key >> 3
+        new = np.flatnonzero(np.diff(name, prepend=-1))
+        c = np.add.reduceat((key & 7).astype(np.float64), new) / 4
+        name = name[new]
+        w, code = name >> 21, name & ((1 << 21) - 1)
+        context = (w << 21) | (code // SIZE)
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        held, big = np.add.reduceat(c, first), PROFILE_WEIGHT
+        na = np.repeat(held, np.diff(np.append(first, len(c))))
+        own = c * (np.log(c / na) + np.log((na + big) / big))
+        out = np.empty((len(self.names), n))
+        for i in range(len(self.names)):
+            bq = big * self.q[i][code].astype(np.float64)
+            out[i] = np.bincount(w, weights=own - c * self.log_q[i][code] - (c + bq) * np.log(1 + c / bq), minlength=n)
+        # the rest of the profile's transitions out of the window's tokens
+        rest = np.bincount(w[first], weights=big * np.log((held + big) / big), minlength=n)
+        total = np.bincount(w, weights=c, minlength=n)
+        return (out + rest) / np.maximum(total, 1e-9)
+
+
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of units with about SLICE transitions each."""
-    a = 0
-    for b in range(1, len(ends)):
-        if ends[b] - ends[a] >= SLICE or b == len(ends) - 1:
-            yield a, b
-            a = b
+    a, n = 0, len(ends) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+        yield a, min(b, n)
+        a = b
 
 
-def _unit_divergences(profiles: Profiles, doc: np.ndarray, code: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Divergences of the units a to b - 1, each with its neighbours of the same document."""
+def _unit_divergences(profiles: Profiles, text: np.ndarray, code: np.ndarray, ends: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Divergences of the units a to b - 1, each with its neighbours of the same text."""
     reach = max(NEIGHBOURS)
-    first, last = max(0, a - reach), min(len(doc), b + reach)
+    first, last = max(0, a - reach), min(len(text), b + reach)
     unit, own = np.repeat(np.arange(first, last), np.diff(ends[first : last + 1])), code[ends[first] : ends[last]]
     windows, codes, weights = [], [], []
     for distance, weight in NEIGHBOURS.items():
         for shift in {distance, -distance}:
             target = unit + shift
             fine = (target >= a) & (target < b)
-            fine[fine] = doc[target[fine]] == doc[unit[fine]]
+            fine[fine] = text[target[fine]] == text[unit[fine]]
             windows.append(target[fine] - a)
             codes.append(own[fine])
-            weights.append(np.full(int(fine.sum()), weight))
+            weights.append(np.full(int(fine.sum()), int(weight * 4), np.int64))
     return profiles.divergences(np.concatenate(windows), np.concatenate(codes), np.concatenate(weights), b - a)
 
 
 def _measure(profiles: Profiles, texts: list[str | None]) -> list[tuple]:
     """(share of running sentences, nearest kind, its share, mean divergence from prose) of each text; nulls for blank ones."""
-    doc, size, again, codes, ends = [], [], [], array("q"), [0]
-    for i, text in enumerate(texts):
-        if text is None or not text.strip():
-            continue
-        seen: Counter[str] = Counter()
-        for unit in units(text):
-            seen[name := unit.strip().lower()] += 1
-            doc.append(i)
-            size.append(len(unit))
-            again.append(bool(name) and seen[name] >= REPEATED)
-            codes.extend(transitions(unit))
-            ends.append(len(codes))
     out: list[tuple] = [(None, None, None, None)] * len(texts)
-    if not doc or "prose" not in profiles.kinds:
+    held = [i for i, t in enumerate(texts) if t is not None and t.strip()]
+    if not held or 0 not in profiles.kind:
         return out
-    doc_, size_, code, n = np.array(doc), np.array(size, float), np.frombuffer(codes, np.int64), len(doc)
-    d = np.concatenate([_unit_divergences(profiles, doc_, code, np.array(ends), a, b) for a, b in _slices(ends)])
-    nearest = d.argmin(axis=1)
-    junk = profiles.kinds.index("junk") if "junk" in profiles.kinds else -1
-    nearest[np.array(again)] = junk
-    total = np.bincount(doc_, weights=size_, minlength=len(texts))
-    shares = np.stack([np.bincount(doc_, weights=size_ * (nearest == k), minlength=len(texts)) for k in range(len(profiles.kinds))], axis=1) / np.maximum(total, 1)[:, None]
-    far = np.bincount(doc_, weights=size_ * d[:, 0], minlength=len(texts)) / np.maximum(total, 1)
-    for i in np.unique(doc_):
-        top = int(shares[i].argmax())
-        out[i] = (float(shares[i, 0]), profiles.kinds[top], float(shares[i, top]), float(far[i]))
+    s: Shapes = shapes([texts[i] for i in held])
+    n, code = len(held), s.codes()
+    ends = np.searchsorted(s.unit, np.arange(len(s.text) + 1))
+    d = np.concatenate([_unit_divergences(profiles, s.text, code, ends, a, b) for a, b in _slices(ends)], axis=1)
+    nearest = profiles.kind[d.argmin(axis=0)]
+    far = np.where((profiles.kind == 0)[:, None], d, np.inf).min(axis=0)
+    total = np.maximum(np.bincount(s.text, weights=s.length, minlength=n), 1)
+    shares = np.stack([np.bincount(s.text, weights=s.length * (nearest == k), minlength=n) for k in range(len(KINDS))], axis=1) / total[:, None]
+    top, mean = shares.argmax(axis=1), np.bincount(s.text, weights=s.length * far, minlength=n) / total
+    for j, i in enumerate(held):
+        out[i] = (float(shares[j, 0]), KINDS[top[j]], float(shares[j, top[j]]), float(mean[j]))
     return out
 
 
-def fit_profiles(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LABELLED) -> Profiles:
+def fit_profiles(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, most: int = LABELLED) -> Profiles:
     """Profiles of the labelled documents: of each document the kind that most reviewers gave; documents without such a kind don't count.
 
-    At most `most` labelled documents are used, those first in a hash order of the id.
-    What reaches the driver is one number for each transition and kind that occurs.
+    With `lang_col` each language that enough documents labelled prose have, after trimming and
+    lower-casing, has a profile of its own beside that of all prose. At most `most` labelled documents are used, those first in a hash
+    order of the id. What reaches the driver is one number for each transition and profile that occurs.
     """
     votes = labels.where(F.col("kind").isin(KINDS) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"), "kind").agg(F.count("*").alias("n"))
     best = votes.groupBy("id").agg(F.max(F.struct("n", "kind")).alias("m"), F.collect_list("n").alias("all"))  # at most one row a kind
     agreed = best.where(F.size(F.filter("all", lambda n: n == F.col("m.n"))) == 1).select("id", F.col("m.kind").alias("kind"))
     used = agreed.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(used), "id").select("kind", "text")
+    lang = F.lower(F.trim(F.col(lang_col).cast("string"))) if lang_col else F.lit(None).cast("string")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).where("text is not null").join(F.broadcast(used), "id")
+    texts = texts.select("kind", "text", F.when((F.col("kind") == "prose") & (F.col("lang") != ""), F.col("lang")).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _blocks(whole, 1):
-                found: Counter[tuple[str, int]] = Counter()
-                for kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    found.update((kind, t) for u in units(text) for t in transitions(u))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([t for _, t in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["kind", "code", "n"])
+            for b in _blocks(whole, 1, BLOCK):
+                kinds = np.array([k if lang is None else f"{k} {lang}" for k, lang in zip(b.column(0).to_pylist(), b.column(2).to_pylist())])
+                names, at = np.unique(kinds, return_inverse=True)
+                s = shapes(b.column(1).to_pylist())
+                key, n = np.unique((at[s.text[s.unit]] << 21) | s.codes(), return_counts=True)
+                docs = np.bincount(at, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((names[key >> 21], names)).tolist(), pa.string()), pa.array(np.concatenate((key & ((1 << 21) - 1), np.full(len(names), -1)))), pa.array(np.concatenate((n, docs)))], ["profile", "code", "n"])
+
+    rows = texts.mapInArrow(count, "profile string, code long, n long").groupBy("profile", "code").agg(F.sum("n").alias("n")).collect()
+    return Profiles(_by_profile([(r["profile"], r["code"], r["n"]) for r in rows]))
+
 
-    rows = texts.mapInArrow(count, "kind string, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).collect()
-    counts: dict[str, dict[int, float]] = {}
-    for r in rows:
-        counts.setdefault(r["kind"], {})[r["code"]] = r["n"]
-    return Profiles(counts)
+def _by_profile(rows: list[tuple[str, int, int]]) -> dict[str, dict[int, float]]:
+    """Counts of each profile; those of a language count for prose as a whole too. Code -1 has the number of documents.
+
+    Before any label repetition is junk: that profile starts with REPETITION transitions into a repeated unit.
+    """
+    counts: dict[str, dict[int, float]] = {"junk": {IDS["start"] * SIZE + IDS["again"]: REPETITION, -1: 1}}
+    for name, code, n in rows:
+        for k in {name, name.split(" ")[0]}:
+            held = counts.setdefault(k, {})
+            held[code] = held.get(code, 0) + n
+    return {k: c for k, held in counts.items() if held.get(-1, 0) >= (LEAST_OF_LANGUAGE if " " in k else 1) and (c := {t: n for t, n in held.items() if t >= 0})}
 
 
 def structure(documents: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, running_share, kind, kind_share, prose_divergence) of every row, over the whole text.
 
-    running_share: share of the characters in units nearest to the prose profile that
-    aren't repetition; kind: the profile with most characters. All four are null for null,
+    running_share: share of the characters in units nearest to a prose profile; kind: the kind
+    with most characters; prose_divergence: the mean one from the nearest prose profile. All four are null for null,
     empty and blank texts, and if no document was labelled prose. No shuffle.
     """
-    known = documents.sparkSession.sparkContext.broadcast(profiles)  # as many numbers as transitions and kinds
+    known = documents.sparkSession.sparkContext.broadcast(profiles)  # as many numbers as transitions and profiles
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _blocks(whole, 1, 1 << 20):
+            for b in _blocks(whole, 1, BLOCK):
                 found = list(zip(*_measure(known.value, b.column(1).to_pylist()))) or [(), (), (), ()]
                 types = (pa.float64(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, t) for v, t in zip(found, types))], ["id", "running_share", "kind", "kind_share", "prose_divergence"])
@@ -264,7 +208,6 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.regexp_extract_all(text, F.lit("[^ \\t\\r\\n]+"), F.lit(0))
     lines = F.filter(F.transform(F.split(text, "[\\r\\n]+"), lambda x: F.trim(x)), lambda x: x != "")
-    common = F.array(*(F.lit(w) for w in WORDS))
     out = documents.select(F.col(id_col), F.length(text).alias("n_characters"), words.alias("w"), lines.alias("l"), F.length(F.regexp_replace(text, "[^#$%&*+/<=>@^_`{|}~\\\\]", "")).alias("s"))
     n, m = F.size("w"), F.size("l")
 
@@ -275,4 +218,4 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(
         F.col(id_col), "n_characters", n.alias("n_words"), ratio(length, n).alias("mean_word_length"), ratio(F.col("s"), F.col("n_characters")).alias("symbol_ratio"), m.alias("n_lines"),
         ratio(F.size(F.filter("l", lambda x: F.substring(x, -1, 1).isin(".", "!", "?", ":"))), m).alias("ended_lines"),
-        ratio(F.size(F.filter("w", lambda x: F.array_contains(common, F.lower(x)))), n).alias("common_words"))
+        ratio(F.size(F.filter("w", lambda x: F.lower(x).isin(*WORDS))), n).alias("common_words"))

@@ -94,7 +94,7 @@ def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return prose.structure(documents, prose.fit_profiles(documents, _table(spark, sf_dir, "doclabels")))
+    return prose.structure(documents, prose.fit_profiles(documents, _table(spark, sf_dir, "doclabels"), lang_col="lang"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """SQL twins of this package's queries, for DuckDB over the same tables."""
 
-from columnscout.llm.prose import WORDS
+from columnscout.llm.shapes import WORDS
 
 COMMON = ", ".join(f"'{w}'" for w in WORDS)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from columnscout.llm import byte_bpe, components, mixing, neighbours, overlaps, prose, set_pairs, terms
+from columnscout.llm import byte_bpe, components, mixing, neighbours, overlaps, prose, set_pairs, shapes, terms
 from columnscout.llm.queries import QUERIES
 from columnscout.llm.sql import SQL
 from columnscout.plans.lineage import Stages
@@ -279,6 +279,50 @@ def test_mix_of_the_tables(spark, small):
 
 
 # --- 9: prose ---
+def kinds_of(text):
+    name = {v: k for known in (shapes.IDS, shapes.WORD_IDS) for k, v in known.items()}
+    s = shapes.shapes([text])
+    return [[name[k] for k in s.kind[s.unit == u]] for u in range(len(s.text))]
+
+
+def test_shapes():
+    assert kinds_of("The owner's table_name was 12.5, by 2024-01-02. Next \"one!\" C3PO") == [
+        ["the", "lower", "identifier", "was", "large number", ",", "by", "date", "."], ["capitalised", '"', "one" if "one" in shapes.WORD_IDS else "lower", "!", '"'], ["identifier"]]
+    assert kinds_of("a\r\n  b\n\nc\td  e") == [["a", "new line"], ["spaces", "lower", "new line"], ["new line"], ["lower", "tab", "lower", "spaces", "e" if "e" in shapes.WORD_IDS else "lower"]]
+    assert kinds_of("漢字の。été Über 12abc a.b ½") == [["han", "han", "lower, not ascii", "。"], ["été", "über" if "über" in shapes.WORD_IDS else "capitalised", "number", "lower", "dotted", "number"]]
+    assert kinds_of("x y\nX y \nq\nx y\n")[3] == ["again", "again", "again"] and kinds_of("") == [] and kinds_of(" ") == [[]]
+
+
+def test_shapes_of_a_batch_are_those_of_each_text():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab Zé漢1.,\n\t -_'\"!?。🧪") for _ in range(rng.randrange(60))) for _ in range(300)]
+    whole, at = shapes.shapes(texts), 0
+    for i, t in enumerate(texts):
+        one = shapes.shapes([t])
+        mine = whole.text[whole.unit] == i
+        assert whole.kind[mine].tolist() == one.kind.tolist() and whole.codes()[mine].tolist() == one.codes().tolist()
+        assert whole.length[whole.text == i].tolist() == one.length.tolist() and one.length.sum() == len(t)
+
+
+def test_divergences_follow_the_definition():
+    """Against the sum over all successors of na p ln(p / m) + b q ln(q / m), context by context."""
+    counts = {"prose": {5: 3, shapes.SIZE + 7: 9, 8: 1}, "prose xx": {5: 1, 6: 2}, "junk": {5: 8, shapes.SIZE * 2 + 1: 4}}
+    p = prose.Profiles(counts)
+    code, weight = np.array([5, 5, 6, shapes.SIZE + 7, 8]), np.array([4, 2, 4, 1, 4])
+    got = p.divergences(np.zeros(5, np.int64), code, weight, 1)[:, 0]
+    for i in range(3):
+        q, b, want = p.q[i].reshape(shapes.SIZE, shapes.SIZE).astype(float), prose.PROFILE_WEIGHT, 0.0
+        c = np.zeros((shapes.SIZE, shapes.SIZE))
+        np.add.at(c, (code // shapes.SIZE, code % shapes.SIZE), weight / 4)
+        for context in np.flatnonzero(c.sum(axis=1)):
+            na = c[context].sum()
+            s, t = c[context] / na, q[context]
+            m = (na * s + b * t) / (na + b)
+            want += (na * s[s > 0] * np.log(s[s > 0] / m[s > 0])).sum() + (b * t * np.log(t / m)).sum()
+        assert got[i] == pytest.approx(want / c.sum(), rel=1e-4)
+    assert p.names == ["prose", "prose xx", "junk"]
+
+
 PROSE = ["The totals of the second table were not the same as those in the first, and nobody could say why it had been so.",
          "We asked the people at the office to send it again, but they have not done so yet. It should come after the weekend.",
          "Wir haben gesehen, dass die Werte in der Tabelle nicht mehr zu den alten passen, und das war auch im Bericht so.",
