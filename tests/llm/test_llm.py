@@ -175,7 +175,7 @@ def test_recall_and_copies(spark):
     v = (centres[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 16))) * rng.lognormal(0, 4, (3000, 1))
     v[:700] = v[0]  # a group of copies
     df = spark.createDataFrame([(i, x.tolist(), "y") for i, x in enumerate(v.astype(np.float32))], "nid long, signature array<float>, v string")
-    p = neighbours.Params(list_size=60, codes=64, parts=8, block=256, shortlist=64)
+    p = neighbours.Params(codes=64, parts=8, region=200, block=256, turn=500)
     got = neighbours.nearest_vectors(df, "nid", "signature", 16, p).toPandas()
     want = neighbours.brute_force(np.arange(3000), v.astype(np.float32).astype(float), 5)
     assert len(got) == 15_000 and got.groupby("id").size().eq(5).all()
@@ -201,6 +201,36 @@ def test_neighbours_among_near_and_scaled_copies(spark):
     assert len(hit) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("n, shape", [(2000, "isotropic"), (8000, "isotropic"), (2000, "clustered"), (8000, "clustered")])
+def test_recall_by_shape(spark, n, shape):
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    if shape == "clustered":
+        v = rng.standard_normal((n // 40, 64))[rng.integers(0, n // 40, n)] + 0.5 * v
+    v = v.astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "nid long, signature array<float>")
+    got = neighbours.nearest_vectors(df, "nid", "signature", 64).toPandas()
+    want = neighbours.brute_force(np.arange(n), v.astype(float), 5)
+    assert len(got) == 5 * n and len(got.merge(want, on=["id", "neighbour"])) / len(want) >= 0.95
+
+
+def test_exact_mode(spark):
+    v = np.random.default_rng(1).standard_normal((1500, 16)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "nid long, signature array<float>")
+    got = neighbours.nearest_vectors(df, "nid", "signature", 16, neighbours.Params(recall=1, k=3, region=100)).toPandas()
+    assert len(got.merge(neighbours.brute_force(np.arange(1500), v.astype(float), 3), on=["id", "neighbour", "rank"])) == 4500
+
+
+def test_scores_are_products_with_the_decoded_entries():
+    rng = np.random.default_rng(2)
+    x = neighbours._unit(rng.standard_normal((3000, 16)))
+    q = neighbours.Quantiser.fit(x.astype(np.float32), len(x), neighbours.Params(parts=4, codes=32))
+    near, codes, err = q.encode(x)
+    made = q.centroids[near] + q.scales[near][:, None] * np.concatenate([b[codes[:, i]] for i, b in enumerate(q.books)], axis=1)
+    assert np.allclose(q.scores(x[:50].astype(np.float32), near, codes), x[:50] @ made.T, atol=1e-5)
+    assert np.allclose(err, np.linalg.norm(x - made, axis=1), atol=1e-5) and err.mean() < np.linalg.norm(x - q.centroids[near], axis=1).mean()
+
+
 def test_unusable_vectors(spark):
     ok, nan = [1.0, 2.0], float("nan")
     df = spark.createDataFrame([(1, ok), (2, [2.0, 4.0]), (3, None), (4, [1.0]), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [float("inf"), 1.0]), (8, [None, 1.0]), (None, ok), (9, [1e-30, 2e-30]), (1, ok)], "nid long, signature array<float>")
