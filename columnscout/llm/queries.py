@@ -25,6 +25,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("nid_a"), F.col("id_b").alias("nid_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one row a record: its class of equal sets, and how many other records are similar."""
+    rows = set_pairs.class_members(current_modeldb(spark, sf_dir, "t_data"), "nid", "t_data", threshold=0.7, min_size=5)
+    return rows.select(F.col("id").alias("nid"), "class_id", "members", "links")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = components.links_of(_table(spark, sf_dir, "edges"), _table(spark, sf_dir, "nodes"), types=(2, 10))
     return components.connected_groups(links)
@@ -109,6 +115,6 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.statistics(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
            "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature,
            "p9_found": p9_found, "p9_structure": p9_structure, "p9_statistics": p9_statistics}

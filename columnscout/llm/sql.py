@@ -49,6 +49,15 @@ tok as (select distinct nid, lower(trim(v, ' ')) as v from (select nid, unnest(t
 s as (select nid, count(*) as n from tok group by nid having count(*) >= 5),
 j as (select a.nid as x, b.nid as y, count(*) as o from tok a join tok b on a.v = b.v and a.nid < b.nid group by 1, 2)
 select x as nid_a, y as nid_b from j join s p on x = p.nid join s q on y = q.nid where o >= 0.7 * (p.n + q.n - o) - 1e-9""",
+    "p1_classes": f"""
+with {CURRENT},
+tok as (select distinct nid, lower(trim(v, ' ')) as v from (select nid, unnest(t_data) as v from cur)
+        where v is not null and trim(v, ' ') <> ''),
+s as (select nid, count(*) as n, list_sort(list(v)) as whole from tok group by nid having count(*) >= 5),
+c as (select whole, min(nid) as class_id, count(*) as members from s group by whole),
+j as (select a.nid as x, b.nid as y, count(*) as o from tok a join tok b on a.v = b.v and a.nid <> b.nid group by 1, 2),
+l as (select x, count(*) as links from j join s p on x = p.nid join s q on y = q.nid where o >= 0.7 * (p.n + q.n - o) - 1e-9 group by 1)
+select s.nid, class_id, members, coalesce(links, 0) as links from s join c using (whole) left join l on x = s.nid""",
     "p3_found": """
 with recursive links as (
     select distinct source_node_id as u, target_node_id as v from edges

@@ -48,6 +48,45 @@ def test_set_pairs_lose_nothing(spark, t, least, seed):
     assert all(a == len(sets[i] & sets[j]) and s == pytest.approx(a / len(sets[i] | sets[j])) for (i, j), (a, s) in got.items())
 
 
+def test_small_and_lumped_sets_lose_nothing(spark):
+    """Sets of 5 to 16 values over few tokens: whole deletion signatures, and sets whose tokens fall into too few segments."""
+    rng = random.Random(8)
+    sets, n = {}, 0
+    for _ in range(250):
+        base = rng.sample(range(40), rng.randrange(5, 15))
+        for _ in range(3):
+            n += 1
+            s = set(base) - set(rng.sample(base, rng.randrange(0, 3))) | {rng.randrange(40) for _ in range(rng.randrange(0, 3))}
+            sets[n] = {f"v{x}" for x in s}
+    lengths = set_pairs.Lengths(0.7, 5, 20)
+    lengths.segments[:] = 2  # so that many sets need the way out
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "nid long, t_data array<string>")
+    want = brute_pairs(sets, 0.7, 5)
+    assert {(r.id_a, r.id_b) for r in set_pairs.similar_pairs(df, "nid", "t_data").collect()} == want
+    keyed = spark.createDataFrame([(i, [hash((1, x)) for x in sorted(s)]) for i, s in sets.items() if len(s) >= 5], "rep long, hashes array<long>")
+    found = {tuple(sorted((r.s_id, r.id))) for r in set_pairs.candidates(keyed, lengths, spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))).collect()}
+    assert found >= want
+
+
+def test_candidates_of_unrelated_sets_grow_with_their_number(spark):
+    """Of sets that have nothing in common no two meet: no signature is shared by chance or by being empty."""
+    lengths, none = set_pairs.Lengths(0.7, 5, 20), spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0)))
+    for n in (10_000, 40_000):
+        size = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int") + 5
+        sets = spark.range(n).select(F.col("id").alias("rep"), F.transform(F.sequence(F.lit(1), size), lambda k: F.xxhash64("id", k)).alias("hashes"))
+        rows = sets.mapInArrow(lambda it: (set_pairs._published(lengths, none.value, b) for b in it if b.num_rows), "key long, id long, n int, sketch long")
+        assert rows.groupBy("key").agg(F.count_distinct("id").alias("c")).agg(F.max("c")).first()[0] == 1
+        assert set_pairs.candidates(sets, lengths, none).count() == 0
+
+
+def test_class_members(spark):
+    five, six = ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e", "f"]
+    rows = [(4, five), (2, five[::-1]), (7, six), (9, ["x1", "x2", "x3", "x4", "x5"]), (8, ["a"]), (None, five), (2, five)]
+    df = spark.createDataFrame(rows, "nid long, t_data array<string>")
+    assert sorted((r.id, r.class_id, r.members, r.links) for r in set_pairs.class_members(df, "nid", "t_data").collect()) == [(2, 2, 2, 2), (4, 2, 2, 2), (7, 7, 1, 2), (9, 9, 1, 0)]
+    assert set_pairs.class_members(df.limit(0), "nid", "t_data").count() == 0
+
+
 def test_set_pairs_edges(spark):
     five = ["A ", "b", "c", "d", "e"]
     rows = [(1, five), (2, ["a", "B", " c", "d", "e", None, "", "  ", "b"]), (3, None), (4, []), (5, ["a"]), (None, five), (6, [None, ""]), (2, ["a", "B", " c", "d", "e", None, "", "  ", "b"]), (7, [f"x{i}" for i in range(20_000)]), (8, [f"x{i}" for i in range(19_000)])]
