@@ -45,6 +45,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.overlapping_pairs(state, 0.4).select("nid_a", "nid_b")
 
 
+def p4_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps after a second batch: identifiers seen up to the middle day are loaded, then later ones join, and those last seen in the first tenth of the days leave."""
+    rows = _table(spark, sf_dir, "idents").where("nid is not null and ident is not null")
+    days = rows.agg(F.min(F.unix_date(F.to_date("seen_at"))).alias("lo"), F.max(F.unix_date(F.to_date("seen_at"))).alias("hi")).first()
+    lo, hi = days["lo"] or 0, days["hi"] or 0
+    rows = rows.select("nid", "ident", F.coalesce(F.unix_date(F.to_date("seen_at")), F.lit(lo)).alias("day"))
+    middle, gone = lo + (hi - lo) // 2, lo + (hi - lo) // 10
+    state = overlaps.load(rows.where(F.col("day") <= middle), Stages(spark, "overlaps"))
+    joins = rows.where(F.col("day") > middle).select("nid", "ident", F.lit(1).alias("sign"))
+    leaves = rows.groupBy("nid", "ident").agg(F.max("day").alias("last")).where(F.col("last") < gone).select("nid", "ident", F.lit(-1).alias("sign"))
+    return overlaps.overlapping_pairs(overlaps.apply_changes(state, joins.union(leaves)), 0.4)
+
+
 def _term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the terms of each current modeldb record's values and of its column name in profile."""
     records = current_modeldb(spark, sf_dir, "t_data").where(F.exists("t_data", lambda v: v.isNotNull() & (F.trim(v) != "")))
@@ -115,6 +128,6 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.statistics(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_residuals": p5_residuals,
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_changes": p4_changes, "p5_found": p5_found, "p5_residuals": p5_residuals,
            "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature,
            "p9_found": p9_found, "p9_structure": p9_structure, "p9_statistics": p9_statistics}

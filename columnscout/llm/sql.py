@@ -22,6 +22,13 @@ with m as (select distinct nid, ident from idents where nid is not null and iden
 s as (select nid, count(*) as n from m group by nid),
 j as (select a.nid as x, b.nid as y, count(*) as o from m a join m b on a.ident = b.ident and a.nid < b.nid group by 1, 2)
 select x as nid_a, y as nid_b from j join s p on x = p.nid join s q on y = q.nid where o >= 0.4 * least(p.n, q.n) - 1e-9""",
+    "p4_changes": """
+with r as (select nid, ident, seen_at::date - date '1970-01-01' as day from idents where nid is not null and ident is not null),
+b as (select min(day) as lo, max(day) as hi from r),
+m as (select nid, ident from r, b group by nid, ident, lo, hi having max(coalesce(day, lo)) >= lo + (hi - lo) // 10),
+s as (select nid, count(*) as n from m group by nid),
+j as (select a.nid as x, b.nid as y, count(*) as o from m a join m b on a.ident = b.ident and a.nid < b.nid group by 1, 2)
+select x as nid_a, y as nid_b, o as shared from j join s p on x = p.nid join s q on y = q.nid where o >= 0.4 * least(p.n, q.n) - 1e-9""",
     "p5_found": f"""
 with {TERMS}
 select nid, term from cnt join df using (term), (select count(*) as n from rec)
