@@ -1,14 +1,19 @@
 """Problem 2: column-level data quality profile.
 
 `value_counts` reduces the cells to distinct values; everything else is an aggregate of
-it: `column_profile` (nulls, distincts, ranges, violations of a pattern, exact power
-sums that merge across loads), `shift` (standardised difference and the largest
-difference of the distribution functions between successive loads) and `findings` (which
+it: `column_profile` (nulls, distincts, ranges, violations of patterns), `power_sums` (exact sums that merge
+across parts and loads), `shift` (standardised differences of successive loads, from the sums),
+`distribution_distance` (the largest difference of their distribution functions) and `findings` (which
 loads contradict the stored profile or differ from the load before).
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +21,13 @@ from pyspark.sql import functions as F
 NUMBER = r"^[+-]?[0-9]+(,[0-9]+)*(\.[0-9]+)?$"
 #: Columns with more distinct values than this are sorted in ranges, by splitters from a hash sample of their values.
 RANGE_VALUES = 500_000
-SPLITTERS = 63
+#: At most so many splitters a column, one for about every RANGE_VALUES values; they are searched in two steps.
+SPLITTERS = 4095
+STEP = 64
+#: Named patterns of cells, for violation counts.
+PATTERNS = {"integer": r"^[+-]?[0-9]+$", "number": NUMBER, "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "code": r"^[A-Z]+[-_]?[0-9]+$", "words": r"^[A-Za-z]+( [A-Za-z]+)*$"}
+#: Numbers have so many significant digits; further ones are rounded.
+DIGITS = 15
 
 
 def blank(value: Column) -> Column:
@@ -37,51 +48,108 @@ def counting_cells(cells: DataFrame) -> DataFrame:
 def value_counts(cells: DataFrame, pattern: str = NUMBER) -> DataFrame:
     """(nid, load_no, value, number, n): distinct trimmed values and how often each occurs.
 
-    All blanks are one row with a null value. `number` is null unless the value matches `pattern`.
+    All blanks are one row with a null value. `number` is null unless the value matches `pattern` and,
+    without its commas, reads as a number.
     """
     value = F.when(blank(F.col("value")), F.lit(None)).otherwise(F.col("value"))
     counted = counting_cells(cells).select("nid", "load_no", value.alias("value")).groupBy("nid", "load_no", "value").agg(F.count("*").alias("n"))
-    number = F.when(F.col("value").rlike(pattern), F.regexp_replace("value", ",", "").cast("double"))
+    number = F.when(F.col("value").rlike(pattern), F.regexp_replace("value", ",", "").try_cast("double"))
     return counted.select("nid", "load_no", "value", number.alias("number"), "n")
 
 
-def column_profile(counts: DataFrame) -> DataFrame:
+def column_profile(counts: DataFrame, patterns: Mapping[str, str] | None = None) -> DataFrame:
     """One row for each (nid, load_no) of `value_counts`.
 
     total, blanks, uniques, violations (non-blank cells that aren't numbers), data_type
     (N if there are non-blank cells and all are numbers, else T), min_value, max_value,
-    and the power sums s1, s2 of the numbers to three decimals, as decimals: they are exact in any order,
-    and those of two parts of a load simply add up. A number of magnitude 1e10 or
-    more, or a sum that leaves 38 digits, makes them null rather than inexact.
+    and for each of `patterns` not_<name>: non-blank cells that don't match it.
     """
-    fits = F.coalesce(F.max(F.abs("number")), F.lit(0.0)) < 1e10
-    x, times = F.when(F.abs("number") < 1e10, F.col("number").cast("decimal(13,3)")), F.col("n").cast("decimal(10,0)")
     seen = F.col("value").isNotNull()
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     agg = counts.groupBy("nid", "load_no").agg(
-        F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(~seen, F.col("n"))), F.lit(0)).alias("blanks"),
-        F.count("value").alias("uniques"),
-        F.coalesce(F.sum(F.when(seen & F.col("number").isNull(), F.col("n"))), F.lit(0)).alias("violations"),
+        count(seen).alias("total"), count(~seen).alias("blanks"), F.count("value").alias("uniques"),
+        count(seen & F.col("number").isNull()).alias("violations"),
         F.min("number").alias("min_value"), F.max("number").alias("max_value"),
-        F.when(fits, F.try_sum(x * times)).alias("s1"), F.when(fits, F.try_sum(x * x * times)).alias("s2"))
+        *(count(seen & ~F.col("value").rlike(p)).alias(f"not_{name}") for name, p in (patterns or {}).items()))
     kind = F.when((F.col("total") > 0) & (F.col("violations") == 0), "N").otherwise("T")
     return agg.withColumn("data_type", kind)
 
 
+def decimal_parts(value: Column, number: Column) -> tuple[Column, Column]:
+    """(mantissa, exponent) of a numeric cell: the number is mantissa * 10 ** exponent, exactly for up to DIGITS significant digits."""
+    clean = F.regexp_replace(value, "[+,-]", "")
+    whole, part = F.split_part(clean, F.lit("."), F.lit(1)), F.rtrim(F.split_part(clean, F.lit("."), F.lit(2)), F.lit("0"))
+    digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+    rounded = F.format_string(f"%.{DIGITS - 1}e", F.abs(number))
+    fits = value.rlike(NUMBER) & (F.length(digits) <= DIGITS)
+    mantissa = F.when(fits, F.when(digits == "", F.lit("0")).otherwise(digits)).otherwise(F.regexp_replace(F.split_part(rounded, F.lit("e"), F.lit(1)), "[.]", ""))
+    exponent = F.when(fits, -F.length(part)).otherwise(F.split_part(rounded, F.lit("e"), F.lit(2)).try_cast("int") - (DIGITS - 1))
+    sign = F.when(value.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    return mantissa.try_cast("long") * sign, exponent
+
+
+def power_sums(counts: DataFrame) -> DataFrame:
+    """(nid, load_no, sums): exact power sums of the numbers of each load, of any magnitude.
+
+    `sums` has an entry (e, n, s1, hh, hl, ll) for each decimal exponent e that occurs, few in number: the numbers m * 10 ** e
+    with integer m = h * 10 ** 8 + l have the count n, the sum s1 of the m, and the sums of h * h, h * l and l * l. All are integers
+    in decimals, so they are the same in any order, and those of two parts add up entry by entry (`merge_sums`).
+    """
+    m, e = decimal_parts(F.col("value"), F.col("number"))
+    rows = counts.where("number is not null").select("nid", "load_no", e.alias("e"), F.col("n").cast("decimal(18,0)").alias("n"), m.alias("m"))
+    rows = rows.select("nid", "load_no", "e", "n", "m", F.expr("m div 100000000").alias("h"), F.expr("m % 100000000").alias("l"))
+    product = lambda x: F.sum(x.cast("decimal(18,0)") * F.col("n")).cast("decimal(38,0)")
+    each = rows.groupBy("nid", "load_no", "e").agg(F.sum("n").cast("decimal(38,0)").alias("n"), product(F.col("m")).alias("s1"), product(F.col("h") * F.col("h")).alias("hh"),
+                                                   product(F.col("h") * F.col("l")).alias("hl"), product(F.col("l") * F.col("l")).alias("ll"))
+    return each.groupBy("nid", "load_no").agg(F.array_sort(F.collect_list(F.struct("e", "n", "s1", "hh", "hl", "ll"))).alias("sums"))
+
+
+def merge_sums(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sums): power sums of several parts or loads, as if they had been counted together."""
+    each = parts.select(*keys, F.inline("sums")).groupBy(*keys, "e").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in ("n", "s1", "hh", "hl", "ll")))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e", "n", "s1", "hh", "hl", "ll"))).alias("sums"))
+
+
+def _moments(sums: list[dict]) -> tuple[int, Fraction, Fraction]:
+    """Count, mean and variance (of the population) from power sums, without rounding."""
+    n = sum(int(x["n"]) for x in sums)
+    s1 = sum((Fraction(int(x["s1"])) * Fraction(10) ** x["e"] for x in sums), Fraction(0))
+    s2 = sum((Fraction(int(x["hh"]) * 10**16 + 2 * int(x["hl"]) * 10**8 + int(x["ll"])) * Fraction(10) ** (2 * x["e"]) for x in sums), Fraction(0))
+    mean = s1 / n
+    return n, mean, s2 / n - mean * mean
+
+
+def _root(x: Fraction) -> float:
+    """The square root of a fraction of any magnitude."""
+    shift = (x.denominator.bit_length() - x.numerator.bit_length()) // 2
+    return math.ldexp(math.sqrt(x * Fraction(4) ** shift), -shift)
+
+
 def with_previous(profile: DataFrame) -> DataFrame:
     """The profile with prev_* columns of the load with the next smaller load_no of the same nid (null for the first)."""
     order = Window.partitionBy("nid").orderBy("load_no")  # one row a load
-    kept = ["load_no", "total", "blanks", "data_type", "s1", "s2"]
+    kept = [c for c in ("load_no", "total", "blanks", "data_type", "sums") if c in profile.columns]
     return profile.select("*", *(F.lag(c).over(order).alias(f"prev_{c}") for c in kept))
 
 
 def _ranges(rows: DataFrame, counts: DataFrame, range_values: int) -> DataFrame:
-    """`rows` with a column `part`: 0, or for a column of very many values the number of its splitters that aren't above the row's value."""
-    big = counts.where("value is not null").groupBy("nid").agg(F.count("*").alias("m")).where(F.col("m") > range_values).select("nid")
-    sample = counts.where("value is not null").join(big, "nid", "left_semi").select("nid", "number", "value").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("nid").orderBy(F.xxhash64("value"), "value"))).where(F.col("nth") <= SPLITTERS)
-    splitters = sample.groupBy("nid").agg(F.collect_list("value").alias("by_value"), F.collect_list("number").alias("by_number"))
-    part = F.when(F.col("numeric"), F.size(F.filter("by_number", lambda s: s <= F.col("number")))).otherwise(F.size(F.filter("by_value", lambda s: s <= F.col("value"))))
+    """`rows` with a column `part`: 0, or for a column of very many values the number of its splitters that aren't above the row's value.
+
+    A column has a splitter for about every `range_values` of its values, up to SPLITTERS.
+    """
+    big = counts.where("value is not null").groupBy("nid").agg(F.count("*").alias("m")).where(F.col("m") > range_values).select("nid", F.least(F.ceil(F.col("m") / range_values), F.lit(SPLITTERS)).alias("most"))
+    sample = counts.where("value is not null").join(big, "nid").select("nid", "number", "value", "most").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("nid").orderBy(F.xxhash64("value"), "value"))).where("nth <= most")
+    splitters = sample.groupBy("nid").agg(F.array_sort(F.collect_list("value")).alias("by_value"), F.array_sort(F.collect_list("number")).alias("by_number"))
+
+    def below(splits: str, x: str) -> Column:
+        """How many splitters are at most x: first among every STEP-th, then in the step found."""
+        every = F.filter(splits, lambda s, i: i % STEP == 0)
+        steps = F.size(F.filter(every, lambda s: s <= F.col(x)))
+        start = F.greatest(steps - 1, F.lit(0)) * STEP
+        return start + F.size(F.filter(F.slice(splits, start + 1, F.lit(STEP)), lambda s: s <= F.col(x)))
+
+    part = F.when(F.col("numeric"), below("by_number", "number")).otherwise(below("by_value", "value"))
     return rows.join(splitters, "nid", "left").withColumn("part", F.when(F.col("by_value").isNull(), 0).otherwise(part)).drop("by_value", "by_number")
 
 
@@ -118,19 +186,24 @@ def distribution_distance(counts: DataFrame, loads: DataFrame, least: int = 30,
 def shift(loads: DataFrame) -> DataFrame:
     """(nid, load_no, difference): standardised difference of the means between a numeric load and the numeric load before.
 
-    From the power sums: (mean - mean before) over the square root of the mean of the
-    two variances; null where both variances are 0 or a sum isn't exact.
+    `loads` is `with_previous` of a profile with `sums` (`power_sums`). (mean - mean before) over the square root of the mean of the
+    two variances, worked out in whole numbers and rounded once; null where both variances are 0. One row a load goes
+    through Python, in Arrow batches: no type of the JVM's holds the products.
     """
-    both = loads.where("data_type = 'N' and prev_data_type = 'N'")
-
-    def moments(p: str) -> tuple[Column, Column]:
-        n = F.col(f"{p}total").cast("double")
-        mean = F.col(f"{p}s1").cast("double") / n
-        return mean, F.greatest(F.col(f"{p}s2").cast("double") / n - mean * mean, F.lit(0.0))
-
-    (mean, var), (prev_mean, prev_var) = moments(""), moments("prev_")
-    pooled = F.sqrt((var + prev_var) / 2)
-    return both.select("nid", "load_no", F.when(pooled > 0, (mean - prev_mean) / pooled).alias("difference"))
+    kinds = dict(loads.dtypes)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for now, before in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                (_, mean, var), (_, old, old_var) = _moments(now), _moments(before)
+                pooled = (var + old_var) / 2
+                gap = mean - old
+                out.append(None if pooled == 0 else math.copysign(_root(gap * gap / pooled), gap) if gap else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["nid", "load_no", "difference"])
+
+    both = loads.where("data_type = 'N' and prev_data_type = 'N' and sums is not null and prev_sums is not null").select("nid", "load_no", "sums", "prev_sums")
+    return both.mapInArrow(differences, f"nid {kinds['nid']}, load_no {kinds['load_no']}, difference double")
 
 
 def stored_profiles(profile: DataFrame) -> DataFrame:

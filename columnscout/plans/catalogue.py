@@ -22,13 +22,28 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loads = quality.with_previous(quality.column_profile(_counts(spark, sf_dir)))
+    counts = _counts(spark, sf_dir)
+    loads = quality.with_previous(quality.column_profile(counts).join(quality.power_sums(counts), ["nid", "load_no"], "left"))
     difference = quality.shift(loads)
     kept = ["nid", "load_no", "data_type", "total", "blanks", "uniques", "violations", "min_value", "max_value"]
     return loads.join(difference, ["nid", "load_no"], "left").select(*kept, F.round("difference", 4).alias("mean_shift"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile}
+def p2_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each column and load, how many non-blank cells violate each named pattern."""
+    profile = quality.column_profile(_counts(spark, sf_dir), quality.PATTERNS)
+    return profile.select("nid", "load_no", "total", *(f"not_{name}" for name in quality.PATTERNS))
+
+
+def p2_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both measures of change side by side: the standardised difference of means and the distance of the distributions, of loads that have either."""
+    counts = _counts(spark, sf_dir)
+    loads = quality.with_previous(quality.column_profile(counts).join(quality.power_sums(counts), ["nid", "load_no"], "left"))
+    both = quality.shift(loads).join(quality.distribution_distance(counts, loads), ["nid", "load_no"], "full")
+    return both.select("nid", "load_no", F.round("difference", 4).alias("mean_shift"), F.round("distance", 6).alias("distance"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_profile": p2_profile, "p2_patterns": p2_patterns, "p2_shifts": p2_shifts}
 
 COUNTS = """vals as (
     select nid, load_no, case when v is null or v = '' or lower(v) = 'nan' then null else v end as v
@@ -41,7 +56,22 @@ col as (select nid, load_no, count(v) as total, count(*) - count(v) as blanks, c
 prev as (select *, lag(load_no) over w as p_load, lag(total) over w as p_total, lag(blanks) over w as p_blanks, lag(data_type) over w as p_type,
          lag(mean) over w as p_mean, lag(var) over w as p_var from col window w as (partition by nid order by load_no))"""
 
+DISTANCES = """able as (select nid, load_no, p_load, total, p_total, data_type = 'N' and p_type = 'N' as numeric from prev where p_load is not null and total >= 30 and p_total >= 30),
+steps as (select a.nid, a.load_no, case when numeric then x end as k1, case when numeric then null else encode(v) end as k2,
+          sum(case when n.load_no = a.load_no then 1.0 / total else -1.0 / p_total end) as step
+          from able a join num n on n.nid = a.nid and n.load_no in (a.load_no, a.p_load) where v is not null group by 1, 2, 3, 4),
+run as (select nid, load_no, sum(step) over (partition by nid, load_no order by k1, k2) as s from steps),
+dist as (select nid, load_no, max(abs(s)) as distance from run group by 1, 2)"""
+SHIFT = "case when data_type = 'N' and p_type = 'N' and var + p_var > 1e-12 then round((mean - p_mean) / sqrt((var + p_var) / 2), 4) end"
+
 SQL = {
+    "p2_patterns": f"""
+with {COUNTS}
+select nid, load_no, count(v) as total, {", ".join(f"count(v) filter (not regexp_matches(v, '{p}')) as not_{n}" for n, p in quality.PATTERNS.items())} from vals group by 1, 2""",
+    "p2_shifts": f"""
+with {COUNTS}, {DISTANCES},
+sh as (select nid, load_no, {SHIFT} as mean_shift from prev where data_type = 'N' and p_type = 'N')
+select nid, load_no, mean_shift, round(distance, 6) as distance from sh full join dist using (nid, load_no)""",
     "p2_found": f"""
 with {COUNTS},
 st as (select id as nid, load_no, dataType, totalValues, uniqueValues, minValue from profile

@@ -1,6 +1,8 @@
 """Column data quality: each finding, and the edges."""
 
+import math
 from datetime import datetime as D
+from fractions import Fraction
 
 import pytest
 
@@ -64,10 +66,65 @@ def test_equal_numbers_are_one_step(spark):
     assert "drift" not in {f for _, _, f in found(cells(spark, rows), stored(spark, []))}
 
 
+def loads_of(spark, *values, **kw):
+    """A column whose loads have these values, with sums, and its counts."""
+    rows = [(1, load + 1, i, v, T0) for load, vs in enumerate(values) for i, v in enumerate(vs)]
+    counts = quality.value_counts(cells(spark, rows))
+    return quality.column_profile(counts).join(quality.power_sums(counts), ["nid", "load_no"], "left")
+
+
+def difference(spark, a, b):
+    return quality.shift(quality.with_previous(loads_of(spark, a, b))).first().difference
+
+
+def expected(a, b):
+    """The definition, in whole numbers."""
+    def moments(vs):
+        xs = [Fraction(v.replace(",", "")) for v in vs]
+        mean = sum(xs) / len(xs)
+        return mean, sum(x * x for x in xs) / len(xs) - mean * mean
+    (m, v), (n, w) = moments(b), moments(a)
+    return float(m - n) / math.sqrt((v + w) / 2)
+
+
+@pytest.mark.parametrize("a, b", [
+    ([f"0.000{i}" for i in range(1, 5)], [f"0.001{i}" for i in range(1, 5)]),
+    ([f"0.0000{i}7" for i in range(10, 40)], [f"0.0000{i}1" for i in range(12, 50)]),
+    ([f"10000000000{i}" for i in range(5)], [f"1000000000{i}1" for i in range(7)]),
+    ([str(10**12 + i) for i in range(9)], [str(10**12 + 2 * i) for i in range(9)]),
+    (["-1,000.5", "7", "0", "0.25"], ["+3", "1" + "0" * 40, "2"]),
+    (["999999999999999", "999999999999998"], ["-999999999999999", "0.000000000000001"])])
+def test_differences_at_any_magnitude(spark, a, b):
+    assert difference(spark, a, b) == pytest.approx(expected(a, b), rel=1e-9)
+
+
+def test_differences_that_are_none(spark):
+    assert difference(spark, ["5", "5"], ["5", "5"]) is None and difference(spark, ["1", "3"], ["3", "1"]) == 0.0
+
+
 def test_power_sums_merge(spark):
-    a = quality.column_profile(quality.value_counts(cells(spark, [(1, 1, i, f"{i}.25", T0) for i in range(10)]))).first()
-    b = quality.column_profile(quality.value_counts(cells(spark, [(1, 1, i, f"{i}.25", T0) for i in range(10, 25)]))).first()
-    c = quality.column_profile(quality.value_counts(cells(spark, [(1, 1, i, f"{i}.25", T0) for i in range(25)]))).first()
-    assert (a.s1 + b.s1, a.s2 + b.s2) == (c.s1, c.s2)
-    huge = quality.column_profile(quality.value_counts(cells(spark, [(1, 1, 0, "1" + "0" * 300, T0)]))).first()
-    assert huge.s1 is None and huge.max_value == 1e300
+    values = [f"{i}.25" for i in range(10)] + ["0.0001", "123456789012345", "-7"]
+    both = loads_of(spark, values[:6], values[6:])
+    merged = quality.merge_sums(both.select("nid", "sums"), ["nid"]).first().sums
+    assert merged == loads_of(spark, values).first().sums
+    count, mean, var = quality._moments([x.asDict() for x in merged])
+    xs = [Fraction(v) for v in values]
+    assert count == len(xs) and mean == sum(xs) / len(xs) and var == sum(x * x for x in xs) / len(xs) - mean * mean
+
+
+def test_patterns(spark):
+    """Any pattern may be asked for; cells that match a pattern of other than numbers are no numbers."""
+    c = cells(spark, [(1, 1, i, v, T0) for i, v in enumerate(["AB-12", "12", "2024-01-02", "x y", "", None, "1.5"])])
+    p = quality.column_profile(quality.value_counts(c), quality.PATTERNS).first()
+    assert (p.total, p.not_integer, p.not_number, p.not_date, p.not_code, p.not_words) == (5, 4, 3, 4, 4, 4)
+    p = quality.column_profile(quality.value_counts(c, "^[A-Z]+-[0-9]+$")).first()
+    assert (p.total, p.violations, p.min_value) == (5, 5, None)
+
+
+@pytest.mark.parametrize("n", [150, 4000])
+def test_many_splitters(spark, n):
+    """Ranges by more splitters than one step has."""
+    counts = quality.value_counts(cells(spark, [(1, load, i, str(i * load), T0) for load in (1, 2) for i in range(n)])).cache()
+    loads = quality.with_previous(quality.column_profile(counts))
+    one, many = (quality.distribution_distance(counts, loads, range_values=r).first().distance for r in (None, 10))
+    assert one == pytest.approx(many, abs=1e-9)
