@@ -14,12 +14,13 @@ STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if
 
 def camel_to_snake(name: Column) -> Column:
     """`orderStatusCode` -> `order_status_code`."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, "([^_])([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    starts = r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=[\p{Lu}])(?=\p{Lu}\p{Ll})"
+    return F.lower(F.regexp_replace(name, starts, "_"))
 
 
 def name_tokens(name: Column) -> Column:
-    """Lower-case tokens of a table or column name, cut at case changes and everything but letters and digits."""
-    return F.filter(F.split(camel_to_snake(F.regexp_replace(name, r"\.csv$", "")), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case tokens of a table or column name, cut at case changes and everything but letters and digits of any script."""
+    return F.filter(F.split(camel_to_snake(F.regexp_replace(name, r"\.csv$", "")), "[^\\p{L}\\p{M}\\p{N}]+"), lambda t: t != "")
 
 
 def analyse(text: Column, stop: bool = True) -> Column:

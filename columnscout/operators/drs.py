@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from enum import Enum, IntEnum
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from columnscout.operators import graph
+from columnscout.plans.lineage import Stages
 
 HIT = "nid long, db_name string, source_name string, field_name string, score double"
 PROV = "src_nid long, dst_nid long, op int"
@@ -64,6 +66,12 @@ class Drs:
         source = F.col("nid") if origin is None else F.lit(origin).cast("long")
         return Drs(h, h.select(source.alias("src_nid"), F.col("nid").alias("dst_nid"), F.lit(int(op)).alias("op")))
 
+    @staticmethod
+    def lookup(hits: DataFrame, keyword: str, op: Op = Op.KW_LOOKUP) -> Drs:
+        """Hits of a search; their provenance is a node of their own that stands for the keyword."""
+        name = hits.sparkSession.range(1).select(F.xxhash64(F.lit(keyword))).first()[0]
+        return Drs.of(hits, op, name)
+
     @staticmethod
     def empty(spark: SparkSession) -> Drs:
         return Drs(spark.createDataFrame([], HIT), spark.createDataFrame([], PROV))
@@ -155,60 +163,85 @@ class Drs:
         return self.neighbours(edges, columns, 6)
 
     # --- provenance -------------------------------------------------------
-    def _walk(self, max_hops: int) -> DataFrame:
-        """(leaf, nid, hops, sum): from every leaf along the provenance to what it reaches; sum of the scores passed."""
-        steps = self.prov.where("src_nid <> dst_nid").select("src_nid", "dst_nid").distinct()
-        leaves = leaf_nodes(self.prov)
+    def _reach(self, max_hops: int | None = None) -> DataFrame:
+        """(leaf, nid): what each leaf leads to along the provenance, itself included; to the end, or within max_hops. Each pair once, level by level, each level a written stage."""
+        stages = Stages(self.prov.sparkSession, "provenance")
+        steps = stages.write(self.prov.where("src_nid <> dst_nid").select("src_nid", "dst_nid").distinct(), "steps")
+        level = seen = stages.write(leaf_nodes(self.prov).select(F.col("nid").alias("leaf"), "nid"), "reach0")
+        for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+            new = level.join(steps, level["nid"] == steps["src_nid"]).select("leaf", F.col("dst_nid").alias("nid")).distinct().join(seen, ["leaf", "nid"], "left_anti")
+            level = stages.write(new, f"reach{hop}")
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+        return seen
+
+    def _walk(self, max_hops: int | None = None) -> DataFrame:
+        """(leaf, nid, hops, sum, seen, ops): all simple paths from every leaf along the provenance, until none grows, or within max_hops; sum of the scores passed, the nodes and the ops passed. Each level is a written stage."""
+        stages = Stages(self.prov.sparkSession, "provenance")
+        steps = self.prov.where("src_nid <> dst_nid").groupBy("src_nid", "dst_nid").agg(F.array_sort(F.collect_set("op")).alias("op"))  # as many as there are ops
         score = self.hits.select(F.col("nid").alias("dst_nid"), "score")
-        walk = leaves.select(F.col("nid").alias("leaf"), "nid", F.lit(0).alias("hops"), F.lit(0.0).alias("sum"), F.array("nid").alias("seen"))
-        out = walk
-        for hop in range(1, max_hops + 1):
-            walk = walk.join(steps, walk["nid"] == steps["src_nid"]).where(~F.array_contains("seen", F.col("dst_nid"))).join(score, "dst_nid", "left")
-            walk = walk.select("leaf", F.col("dst_nid").alias("nid"), F.lit(hop).alias("hops"), (F.col("sum") + F.coalesce("score", F.lit(0.0))).alias("sum"), F.array_append("seen", F.col("dst_nid")).alias("seen"))
+        steps = stages.write(steps.join(score, "dst_nid", "left").select("src_nid", "dst_nid", "op", F.coalesce("score", F.lit(0.0)).alias("score")), "steps")
+        first = leaf_nodes(self.prov).select(F.col("nid").alias("leaf"), "nid", F.lit(0).alias("hops"), F.lit(0.0).alias("sum"), F.array("nid").alias("seen"), F.array().cast("array<array<int>>").alias("ops"))
+        out = walk = stages.write(first, "walk0")
+        for hop in count(1) if max_hops is None else range(1, max_hops + 1):
+            new = walk.join(steps, walk["nid"] == steps["src_nid"]).where(~F.array_contains("seen", F.col("dst_nid")))
+            new = new.select("leaf", F.col("dst_nid").alias("nid"), F.lit(hop).alias("hops"), (F.col("sum") + F.col("score")).alias("sum"), F.array_append("seen", F.col("dst_nid")).alias("seen"), F.array_append("ops", F.col("op")).alias("ops"))
+            walk = stages.write(new, f"walk{hop}")
+            if walk.isEmpty():
+                break
             out = out.unionByName(walk)
         return out
 
-    def provenance_paths(self, max_hops: int = 4) -> DataFrame:
+    def provenance_paths(self, max_hops: int | None = None) -> DataFrame:
         """(leaf, nid, path): all simple provenance paths from a leaf to a node without successors."""
         heads = head_nodes(self.prov)
         return self._walk(max_hops).where("hops > 0").join(heads, "nid", "left_semi").select("leaf", "nid", F.col("seen").alias("path"))
 
-    def why(self, max_hops: int = 4) -> DataFrame:
-        """(nid, leaf): the leaves that each hit comes from."""
-        return self._walk(max_hops).join(self.hits.select("nid"), "nid", "left_semi").select("nid", "leaf").distinct()
+    def paths_to(self, nid: int, max_hops: int | None = None) -> DataFrame:
+        """(leaf, nid, path): all simple provenance paths from a leaf to one node."""
+        return self._walk(max_hops).where((F.col("hops") > 0) & (F.col("nid") == nid)).select("leaf", "nid", F.col("seen").alias("path"))
+
+    def why(self, max_hops: int | None = None) -> DataFrame:
+        """(nid, leaf): the leaves that each hit comes from, over any number of steps or at most max_hops."""
+        return self._reach(max_hops).join(self.hits.select("nid"), "nid", "left_semi").select("nid", "leaf")
 
-    def how(self, columns: DataFrame, max_hops: int = 4) -> DataFrame:
-        """(nid, explanation): each step that leads to a hit, as `table:field -> OP -> table:field`."""
-        names = columns.select("nid", F.concat_ws(":", "source_name", "field_name").alias("name"))
+    def how(self, columns: DataFrame, max_hops: int | None = None) -> DataFrame:
+        """(nid, explanation): each path that leads from a leaf to a hit, as `table:field -> OP -> table:field -> ...`; several ops of a step are joined by `|`."""
+        names = columns.select("nid", F.concat_ws(":", "source_name", "field_name").alias("name")).dropDuplicates(["nid"])
         ops = F.create_map(*(x for o in Op for x in (F.lit(int(o)), F.lit(o.name))))
-        p = self.prov.join(names.select(F.col("nid").alias("src_nid"), F.col("name").alias("a")), "src_nid", "left").join(names.select(F.col("nid").alias("dst_nid"), F.col("name").alias("b")), "dst_nid", "left")
-        text = F.concat_ws(" -> ", F.coalesce("a", F.lit("lookup")), F.element_at(ops, F.col("op")), F.coalesce("b", F.lit("?")))
-        return p.join(self.hits.select(F.col("nid").alias("dst_nid")), "dst_nid", "left_semi").select(F.col("dst_nid").alias("nid"), text.alias("explanation")).distinct()
+        paths = self._walk(max_hops).where("hops > 0").join(self.hits.select("nid"), "nid", "left_semi")
+        text = F.transform("ops", lambda o: F.array_join(F.transform(o, lambda x: F.element_at(ops, x)), "|"))
+        at = paths.select("nid", F.col("seen").alias("path"), text.alias("ops")).select("nid", "path", "ops", F.posexplode("path").alias("at", "node"))
+        named = at.join(names.select(F.col("nid").alias("node"), "name"), "node", "left").withColumn("name", F.coalesce("name", F.lit("lookup")))
+        step = F.when(F.col("at") == 0, F.col("name")).otherwise(F.concat_ws(" -> ", F.get("ops", F.col("at") - 1), "name"))
+        whole = named.groupBy("nid", "path").agg(F.array_sort(F.collect_list(F.struct("at", step.alias("text")))).alias("steps"))  # as long as the path
+        return whole.select("nid", F.array_join(F.transform("steps", lambda x: x["text"]), " -> ").alias("explanation"))
 
     # --- ranking ----------------------------------------------------------------
-    def certainty(self, max_hops: int = 4) -> DataFrame:
+    def certainty(self, max_hops: int | None = None) -> DataFrame:
         """(nid, certainty): the greatest sum of scores over the paths from a leaf. compat: the maximum of all branches."""
         best = self._walk(max_hops).groupBy("nid").agg(F.max("sum").alias("certainty"))
         return self.hits.select("nid").join(best, "nid", "left").select("nid", F.coalesce("certainty", F.lit(0.0)).alias("certainty"))
 
-    def coverage(self, max_hops: int = 4) -> DataFrame:
+    def coverage(self, max_hops: int | None = None) -> DataFrame:
         """(nid, coverage): share of the leaves that a hit comes from."""
         n = leaf_nodes(self.prov).agg(F.count("*").alias("n"))
         each = self.why(max_hops).groupBy("nid").agg(F.count_distinct("leaf").alias("m"))
         out = self.hits.select("nid").join(each, "nid", "left").crossJoin(F.broadcast(n))  # one row
         return out.select("nid", F.when(F.col("n") > 0, F.coalesce("m", F.lit(0)) / F.col("n")).otherwise(0.0).alias("coverage"))
 
-    def table_certainty(self, max_hops: int = 4) -> DataFrame:
+    def table_certainty(self, max_hops: int | None = None) -> DataFrame:
         """(source_name, certainty): sum over the table's hits."""
         return self.certainty(max_hops).join(self.hits, "nid").groupBy("source_name").agg(F.sum("certainty").alias("certainty"))
 
-    def table_coverage(self, max_hops: int = 4) -> DataFrame:
+    def table_coverage(self, max_hops: int | None = None) -> DataFrame:
         """(source_name, coverage): share of the leaves that any of the table's hits comes from."""
         n = leaf_nodes(self.prov).agg(F.count("*").alias("n"))
         each = self.why(max_hops).join(self.hits, "nid").groupBy("source_name").agg(F.count_distinct("leaf").alias("m"))
         return each.crossJoin(F.broadcast(n)).select("source_name", (F.col("m") / F.col("n")).alias("coverage"))  # one row
 
-    def ranked(self, by: str = "certainty", max_hops: int = 4) -> DataFrame:
+    def ranked(self, by: str = "certainty", max_hops: int | None = None) -> DataFrame:
         """The hits with both scores, ordered by one, then the other, then nid."""
         other: Column = F.col("coverage" if by == "certainty" else "certainty").desc()
         return self.hits.join(self.certainty(max_hops), "nid").join(self.coverage(max_hops), "nid").orderBy(F.col(by).desc(), other, "nid")

@@ -65,43 +65,63 @@ def traverse(hits: DataFrame, edges: DataFrame, relation: int, max_hops: int, st
     return seen.where("hops > 0")
 
 
+def levels(sources: DataFrame, edges: DataFrame, max_hops: int, stages: Stages) -> DataFrame:
+    """(source, nid, hops): what each source reaches over `edges` (src, dst), with the least number of hops; each source itself at 0."""
+    level = seen = stages.write(sources.select(F.col("nid").alias("source"), "nid").where("nid is not null").distinct().withColumn("hops", F.lit(0)), "reach0")
+    for hop in range(1, max_hops + 1):
+        reached = level.join(edges, level["nid"] == edges["src"]).select("source", F.col("dst").alias("nid")).distinct().join(seen, ["source", "nid"], "left_anti")
+        level = stages.write(reached.withColumn("hops", F.lit(hop)), f"reach{hop}")
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen
+
+
 def paths(sources: DataFrame, targets: DataFrame, edges: DataFrame, relation: int, max_hops: int, shortest_only: bool = False) -> DataFrame:
     """(source, target, hops, path): all simple paths over one relation from a source to a target nid, of at most max_hops edges.
 
-    compat: max_hops is honoured, and all paths come out, not only the first. With
-    shortest_only all shortest paths of each pair. A path ends at the target. Each hop is one equi-join; partial paths that end a hop away
-    from any target are cut by a semi join in the last hop.
+    compat: max_hops is honoured, and all paths come out, not only the first. Each hop is one equi-join; partial paths that end a hop away
+    from any target are cut by a semi join in the last hop. With shortest_only all shortest paths of each pair: every node's least level is found first, breadth first, and a
+    walk only steps to nodes whose level it has reached, so no longer path is ever formed.
     """
     e = edges.where(F.col("relation") == relation).select("src", "dst").distinct()
     goal = targets.select(F.col("nid").alias("target")).distinct()
     walk = sources.select("nid").where("nid is not null").distinct().select(F.col("nid").alias("source"), F.col("nid").alias("at"), F.array("nid").alias("path"))
+    if shortest_only:
+        stages = Stages(sources.sparkSession, "paths")
+        e = stages.write(e, "edges")
+        least = levels(sources, e, max_hops, stages)
     found = []
     for hop in range(1, max_hops + 1):
         step = e if hop < max_hops else e.join(goal.select(F.col("target").alias("dst")), "dst", "left_semi")
-        walk = walk.join(step, walk["at"] == step["src"]).where(~F.array_contains("path", F.col("dst")))
+        walk = walk.join(step, walk["at"] == step["src"])
+        if shortest_only:
+            walk = walk.join(least.where(F.col("hops") == hop).select("source", F.col("nid").alias("dst")), ["source", "dst"])
+        else:
+            walk = walk.where(~F.array_contains("path", F.col("dst")))
         walk = walk.select("source", F.col("dst").alias("at"), F.array_append("path", F.col("dst")).alias("path"))
         found.append(walk.join(goal, walk["at"] == goal["target"], "left_semi").select("source", F.col("at").alias("target"), F.lit(hop).alias("hops"), "path"))
-    out = reduce(DataFrame.unionByName, found)
-    if shortest_only:
-        out = out.withColumn("least", F.min("hops").over(Window.partitionBy("source", "target"))).where("hops = least").drop("least")
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
-def table_paths(sources: list[str], targets: list[str], edges: DataFrame, columns: DataFrame, relation: int, max_hops: int = 2) -> DataFrame:
+def table_paths(sources: list[str] | None, targets: list[str] | None, edges: DataFrame, columns: DataFrame, relation: int, max_hops: int = 2) -> DataFrame:
     """(source, target, hops, tables, joins): table-level paths; a hop goes from any column of a table over the relation to a column of a table not yet on the path.
 
-    A path ends at its own target, and may lead through other targets. `joins` has the (left column, right column) of every hop. `columns` is (nid, source_name). compat: all paths, shortest first.
+    `sources` and `targets` are table names, or None for all tables. A path ends at its own target, and may lead through other targets.
+    `joins` has the (left column, right column) of every hop. `columns` is (nid, source_name). compat: all paths, shortest first.
     """
-    c = columns.select("nid", "source_name")
+    c = columns.select("nid", "source_name").where("source_name is not null")
     hop_edges = (edges.where(F.col("relation") == relation).select("src", "dst").distinct()
                  .join(c.select(F.col("nid").alias("src"), F.col("source_name").alias("t1")), "src").join(c.select(F.col("nid").alias("dst"), F.col("source_name").alias("t2")), "dst").where("t1 <> t2"))
     spark = edges.sparkSession
-    walk = spark.createDataFrame([(s, s, [s]) for s in dict.fromkeys(sources)], "source string, at string, tables array<string>").withColumn("joins", F.array().cast("array<struct<l:bigint,r:bigint>>"))
+    start = hop_edges.select(F.col("t1").alias("source")).distinct() if sources is None else spark.createDataFrame([(s,) for s in dict.fromkeys(sources)], "source string")
+    walk = start.select("source", F.col("source").alias("at"), F.array("source").alias("tables"), F.array().cast("array<struct<l:bigint,r:bigint>>").alias("joins"))
     found = []
     for hop in range(1, max_hops + 1):
         walk = walk.join(hop_edges, F.col("at") == F.col("t1")).where(~F.array_contains("tables", F.col("t2")))
         walk = walk.select("source", F.col("t2").alias("at"), F.array_append("tables", F.col("t2")).alias("tables"), F.array_append("joins", F.struct(F.col("src").alias("l"), F.col("dst").alias("r"))).alias("joins"))
-        found.append(walk.where(F.col("at").isin(targets)).select("source", F.col("at").alias("target"), F.lit(hop).alias("hops"), "tables", "joins"))
+        ends = walk if targets is None else walk.where(F.col("at").isin(targets))
+        found.append(ends.select("source", F.col("at").alias("target"), F.lit(hop).alias("hops"), "tables", "joins"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from columnscout.functions.text import camel_to_snake, name_tokens
 from columnscout.functions.vectors import dot, unit
 from columnscout.operators.search import fuzzy_terms
+from columnscout.plans.lineage import Stages
 
 #: Kinds of evidence.
 KINDS = ("L1", "L2", "L3", "L4", "L42", "L5", "L52", "L6", "L7")
@@ -140,17 +141,22 @@ def combine(matchings: DataFrame) -> DataFrame:
     return matchings.groupBy(*ELEMENT, *CLASS).agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumn("n", F.size("kinds"))
 
 
-def ancestors(vocabulary: DataFrame, most_depth: int = 12) -> DataFrame:
-    """(kr, name, ancestor, distance): every ancestor of every class; cycles end at the class itself."""
+def ancestors(vocabulary: DataFrame) -> DataFrame:
+    """(kr, name, ancestor, distance): every ancestor of every class with its least distance, at any depth; cycles are walked once, and a class isn't its own ancestor.
+
+    One written stage a level, until a level has nothing new.
+    """
+    stages = Stages(vocabulary.sparkSession, "ancestors")
     step = vocabulary.where("parent is not null").select("kr", F.col("name").alias("child"), "parent").distinct()
-    level = step.select("kr", F.col("child").alias("name"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out = level
-    for d in range(2, most_depth + 1):
-        level = level.drop("distance").join(step.select("kr", F.col("child").alias("ancestor"), "parent"), ["kr", "ancestor"]).where("parent <> name").select("kr", "name", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")).distinct()
-        if level.isEmpty():
-            break
+    up = stages.write(step.select("kr", F.col("child").alias("ancestor"), "parent"), "up")
+    out = level = stages.write(step.where("child <> parent").select("kr", F.col("child").alias("name"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), "level1")
+    d = 1
+    while not level.isEmpty():
+        d += 1
+        above = level.drop("distance").join(up, ["kr", "ancestor"]).where("parent <> name").select("kr", "name", F.col("parent").alias("ancestor"), F.lit(d).alias("distance")).distinct()
+        level = stages.write(above.join(out, ["kr", "name", "ancestor"], "left_anti"), f"level{d}")
         out = out.unionByName(level)
-    return out.groupBy("kr", "name", "ancestor").agg(F.min("distance").alias("distance"))
+    return out
 
 
 def summarise_to_ancestor(matchings: DataFrame, vocabulary: DataFrame, fan_out: int = 2, share: float = 0.8, least_depth: int = 2, similar: float = 0.85) -> DataFrame:

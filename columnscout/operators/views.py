@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations, product
@@ -75,10 +76,10 @@ def candidate_groups(table_filters: Sequence[tuple[str, Sequence[int]]], n_filte
     yield from partial
 
 
-def exhaustive_groups(table_filters: Sequence[tuple[str, Sequence[int]]], most_tables: int = 3) -> list[tuple[tuple[str, ...], tuple[int, ...]]]:
-    """All groups of up to most_tables tables, by how many filters they fulfil and then by how few tables they have."""
+def exhaustive_groups(table_filters: Sequence[tuple[str, Sequence[int]]], most_tables: int | None = None) -> list[tuple[tuple[str, ...], tuple[int, ...]]]:
+    """All groups of tables (of up to most_tables, if given), by how many filters they fulfil and then by how few tables they have."""
     held = dict(table_filters)
-    out = [(g, tuple(sorted(set().union(*(held[t] for t in g))))) for k in range(1, most_tables + 1) for g in combinations(sorted(held), k)]
+    out = [(g, tuple(sorted(set().union(*(held[t] for t in g))))) for k in range(1, (most_tables or len(held)) + 1) for g in combinations(sorted(held), k)]
     return sorted(out, key=lambda x: (-len(x[1]), len(x[0]), x[0]))
 
 
@@ -95,25 +96,47 @@ class Join:
         return tuple(sorted(((self.left, self.left_key), (self.right, self.right_key))))
 
 
-def join_graphs(group: Sequence[str], paths: Mapping[tuple[str, str], Sequence[Sequence[Join]]], most: int = 1000) -> list[list[Join]]:
-    """Join graphs that cover the group: unions of a path for each pair of a spanning choice of pairs, each graph once, fewest joins first.
-
-    `paths` has the join paths of each pair of tables (as of `graph.table_paths`). `most` bounds how many combinations of a choice
-    are formed, since they multiply; compat: paths of all pairs are used.
+def _shortest_first(options: Sequence[Sequence[Sequence[Join]]]) -> Iterator[list[Sequence[Join]]]:
+    """One path of each list, in every combination, in the order of their summed lengths and then of their places; each list is sorted by length."""
+    if not all(options):
+        return
+    total = lambda at: sum(len(o[i]) for o, i in zip(options, at))
+    start = (0,) * len(options)
+    heap, seen = [(total(start), start)], {start}
+    while heap:
+        _, at = heapq.heappop(heap)
+        yield [o[i] for o, i in zip(options, at)]
+        for k in range(len(at)):
+            after = (*at[:k], at[k] + 1, *at[k + 1:])
+            if after[k] < len(options[k]) and after not in seen:
+                seen.add(after)
+                heapq.heappush(heap, (total(after), after))
+
+
+def join_graphs(group: Sequence[str], paths: Mapping[tuple[str, str], Sequence[Sequence[Join]]]) -> Iterator[list[Join]]:
+    """Join graphs that cover the group: unions of a path for each pair of a spanning choice of pairs, each graph once, in the order of their summed path lengths.
+
+    `paths` has the join paths of each pair of tables (as of `graph.table_paths`). All graphs come out, one at a time, in an order that
+    doesn't depend on that of the paths; the caller stops when it has enough. compat: paths of all pairs are used.
     """
-    found: dict[frozenset, list[Join]] = {}
-    need = set(group)
+    need, found = set(group), set()
     pairs = [p for p in combinations(sorted(group), 2)]
-    for choice in combinations(pairs, len(group) - 1):
-        options = [list(paths.get(p, ())) + [[Join(j.right, j.right_key, j.left, j.left_key) for j in reversed(path)] for path in paths.get(p[::-1], ())] for p in choice]
-        for n, combo in enumerate(product(*options)):
-            if n >= most:
-                break
+    name = lambda path: (len(path), tuple(j.canonical() for j in path))
+
+    def walks(choice: Sequence[tuple[str, str]]) -> Iterator[tuple[int, list[Join]]]:
+        options = [sorted([*paths.get(p, ()), *([Join(j.right, j.right_key, j.left, j.left_key) for j in reversed(path)] for path in paths.get(p[::-1], ()))], key=name) for p in choice]
+        for combo in _shortest_first(options):
             joins = {j.canonical(): j for path in combo for j in path}
             covered = {t for (a, _), (b, _) in joins for t in (a, b)}
             if need <= covered and len(joins) == len(covered) - 1:  # a tree
-                found.setdefault(frozenset(joins), list(joins.values()))
-    return sorted(found.values(), key=lambda g: (len(g), sorted(j.canonical() for j in g)))
+                yield sum(map(len, combo)), list(joins.values())
+
+    merged = heapq.merge(*(((size, n, i, g) for i, (size, g) in enumerate(walks(choice))) for n, choice in enumerate(combinations(pairs, len(group) - 1))), key=lambda x: x[:3])
+    for _, _, _, graph in merged:
+        key = frozenset(j.canonical() for j in graph)
+        if key not in found:
+            found.add(key)
+            yield graph
 
 
 def rank_join_graphs(graphs: Sequence[Sequence[Join]], uniqueness: Mapping[tuple[str, str], float]) -> list[tuple[float, list[Join]]]:

@@ -1,7 +1,7 @@
 """Written stages: how iterative operators cut their lineage.
 
 A stage is a parquet table below the folder that `spark.checkpoint.dir` names, which
-all executors share, so it survives the loss of any executor. Only where the session
+all executors share, so it survives the loss of any executor. Only where a local session
 has no such setting (tests) a folder below the warehouse is used.
 """
 
@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for stages: the cluster's `spark.checkpoint.dir`, else one of our own."""
+    """The folder for stages: the cluster's `spark.checkpoint.dir`, else one of our own below the warehouse, which on a cluster must not be a machine's own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/stages"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -30,10 +33,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_ROOTS: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stages of all runs so far; results that aren't written or collected by then can't be read any more."""
+    while _ROOTS:
+        _delete(spark, _ROOTS.pop())
+
+
 class Stages:
     """The stages of one run of an operator, each written once and read by name.
 
-    The folder is deleted when the interpreter ends, since a lazy result may read
+    The folder is deleted by `release` or when the interpreter ends, since a lazy result may read
     it until then; `drop` deletes a stage that nothing reads any more.
     """
 
@@ -42,7 +54,9 @@ class Stages:
         self.root = f"{shared_folder(spark)}/columnscout-{operator}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.written = 0
-        atexit.register(_delete, spark, self.root)
+        if not _ROOTS:
+            atexit.register(release, spark)
+        _ROOTS.add(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` as stage `name` and return a DataFrame that reads it. A name used again doesn't touch the earlier stage, which `df` may read."""

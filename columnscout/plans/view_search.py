@@ -33,10 +33,10 @@ def join_paths(group: Sequence[str], edges: DataFrame, columns: DataFrame, max_h
     return out
 
 
-def find_views(tables: Mapping[str, DataFrame], edges: DataFrame, columns: DataFrame, attrs: Sequence[str], values: Sequence[str], max_hops: int = 2, sample: int | None = None, most_graphs: int = 20) -> Iterator[View]:
-    """Views with the requested attributes, complete ones first, fewest joins first.
+def find_views(tables: Mapping[str, DataFrame], edges: DataFrame, columns: DataFrame, attrs: Sequence[str], values: Sequence[str], max_hops: int = 2, sample: int | None = None) -> Iterator[View]:
+    """Views with the requested attributes, complete ones first, short join graphs first.
 
-    A join graph is probed only if a sample value is asked for. `most_graphs` is how many join graphs of a group are tried.
+    All views come out, one at a time; the caller stops when it has enough. A join graph is probed only if a sample value is asked for.
     """
     filters = views.filters_of(attrs, values)
     fulfilling = views.fulfilling_columns(tables, filters).collect()  # names only
@@ -47,7 +47,7 @@ def find_views(tables: Mapping[str, DataFrame], edges: DataFrame, columns: DataF
     for group, held in views.candidate_groups([(t, sorted(f)) for t, f in ordered], len(filters)):
         where = {n: (next(t for t in group if n in by_table[t]), filters[n].attr) for n in held}
         wanted = [filters[n] for n in held]
-        graphs: list[list[Join]] = [[]] if len(group) == 1 else views.join_graphs(group, join_paths(group, edges, columns, max_hops))[:most_graphs]
+        graphs = [[]] if len(group) == 1 else views.join_graphs(group, join_paths(group, edges, columns, max_hops))
         for joins in graphs:
             base = {t: tables[t] for t in ({t for j in joins for t in (j.left, j.right)} or set(group))}
             if any(f.value for f in wanted) and not views.is_materialisable(base, joins, wanted):

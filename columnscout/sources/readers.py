@@ -20,13 +20,13 @@ def _files(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
 def csv_folder(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """Every file of a folder is a relation of its name, with a header row; all cells are strings.
 
-    Rows of another width than the header are dropped, as are clashing header names told apart by a number. Settings: path, separator (one
+    Rows of another width than the header are dropped, whichever columns a query reads; so are clashing header names told apart by a number. Settings: path, separator (one
     character), encoding.
     """
     out = {}
     for name, path in _files(spark, config["path"]):
         df = spark.read.option("header", True).option("sep", config.get("separator", ",")).option("encoding", config.get("encoding", "UTF-8"))
-        out[name] = df.option("mode", "DROPMALFORMED").option("inferSchema", False).csv(path)
+        out[name] = df.option("mode", "DROPMALFORMED").option("inferSchema", False).option("columnPruning", False).csv(path)
     return out
 
 
