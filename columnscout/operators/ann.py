@@ -54,6 +54,11 @@ def pca_projections(name: str, n: int, vectors: DataFrame, vector_col: str, widt
     return Hash(name, (axes * flip[:, None])[:n], width)
 
 
+def split(whole: Hash, n: int) -> list[Hash]:
+    """One hash for every n directions of a hash; a remainder of fewer directions is left out."""
+    return [Hash(f"{whole.name}{i // n}", whole.normals[i : i + n], whole.width) for i in range(0, len(whole.normals) - n + 1, n)]
+
+
 def unit_bucket(name: str, dim: int) -> Hash:
     """Everything in one bucket: exact search, for small collections and tests."""
     return Hash(name, np.zeros((1, dim)), 1.0)

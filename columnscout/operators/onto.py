@@ -112,7 +112,7 @@ def cohesive_groups(tokens: DataFrame, embedding: DataFrame, least: float = 0.5)
     """(source_name, token, cohesion): name tokens of a table's columns whose mean similarity to the table's other tokens is at least `least`."""
     t = tokens.select("source_name", F.explode("tokens").alias("token")).distinct().join(embedding, "token")
     o = t.select("source_name", F.col("token").alias("other"), F.col("vector").alias("ov"))
-    pairs = t.join(o, "source_name").where("token <> other").groupBy("source_name", "token").agg(F.avg(dot("vector", "ov")).alias("cohesion"))
+    pairs = t.join(o, "source_name").where("token <> other").groupBy("source_name", "token").agg(F.round(F.avg(dot("vector", "ov")), 9).alias("cohesion"))
     return pairs.where(F.col("cohesion") >= least)
 
 
@@ -122,7 +122,7 @@ def group_matchings(groups: DataFrame, classes: DataFrame, embedding: DataFrame,
     c = classes.select(*CLASS, F.explode("tokens").alias("token")).join(embedding.select("token", F.col("vector").alias("cv")), "token")
     # a stated set of classes against all groups, in blocks of tables
     blocks = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    pairs = g.withColumn("b", F.pmod(F.xxhash64("source_name"), F.lit(8)).cast("int")).join(blocks.drop("token"), "b").groupBy("source_name", *CLASS).agg(F.avg(dot("vector", "cv")).alias("score"), F.avg("cohesion").alias("own"))
+    pairs = g.withColumn("b", F.pmod(F.xxhash64("source_name"), F.lit(8)).cast("int")).join(blocks.drop("token"), "b").groupBy("source_name", *CLASS).agg(F.round(F.avg(dot("vector", "cv")), 9).alias("score"), F.round(F.avg("cohesion"), 9).alias("own"))
     return pairs.where((F.col("score") >= least) & (F.col("score") >= F.col("own"))).select("source_name", *CLASS, "score")
 
 

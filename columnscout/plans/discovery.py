@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from columnscout.functions.latest import latest_rows
 from columnscout.functions.text import name_tokens
 from columnscout.operators import annotations as A
-from columnscout.operators import drift, graph, onto, relate, search
+from columnscout.operators import drift, graph, onto, quality, relate, search
 from columnscout.operators.drs import Drs
+from columnscout.plans.catalogue import COUNTS
 from columnscout.plans.lineage import Stages, shared_folder
 from columnscout.streaming import profile as stream
 from columnscout.streaming.profile import windowed_counts
@@ -82,11 +83,9 @@ def shortest_paths(spark, sf_dir):
 
 
 def table_paths(spark, sf_dir):
-    """Joins of at most two hops from the table that sorts first to every other one."""
-    c = columns_of(spark, sf_dir)
-    names = [r[0] for r in c.where("source_name is not null").select("source_name").distinct().orderBy("source_name").collect()]
-    p = graph.table_paths(names[:1], names[1:], graph_of(spark, sf_dir), c, 5, 2)
-    return p.groupBy("target", "hops").agg(F.count("*").alias("paths"))
+    """Joins of at most two hops between any two tables."""
+    p = graph.table_paths(None, None, graph_of(spark, sf_dir), columns_of(spark, sf_dir), 5, 2)
+    return p.groupBy("source", "target", "hops").agg(F.count("*").alias("paths"))
 
 
 def degree_topk(spark, sf_dir):
@@ -150,27 +149,27 @@ def provenance_edges(spark, sf_dir):
 
 def why(spark, sf_dir):
     a, _ = _two(spark, sf_dir)
-    return a.why(1)
+    return a.why()
 
 
 def how(spark, sf_dir):
-    d, e, c = _parts(spark, sf_dir)
-    return d.pkfk_of(e, c).how(c)
+    a, _ = _two(spark, sf_dir)
+    return a.how(columns_of(spark, sf_dir))
 
 
 def coverage_rank(spark, sf_dir):
     a, _ = _two(spark, sf_dir)
-    return a.coverage(1).select("nid", F.round("coverage", 9).alias("coverage"))
+    return a.coverage().select("nid", F.round("coverage", 9).alias("coverage"))
 
 
 def certainty_rank(spark, sf_dir):
     a, _ = _two(spark, sf_dir)
-    return a.certainty(1).select("nid", F.round("certainty", 4).alias("certainty"))
+    return a.certainty().select("nid", F.round("certainty", 4).alias("certainty"))
 
 
 def table_rank(spark, sf_dir):
     a, _ = _two(spark, sf_dir)
-    return a.table_certainty(1).join(a.table_coverage(1), "source_name", "left").select("source_name", F.round("certainty", 3).alias("certainty"), F.round("coverage", 9).alias("coverage"))
+    return a.table_certainty().join(a.table_coverage(), "source_name", "left").select("source_name", F.round("certainty", 3).alias("certainty"), F.round("coverage", 9).alias("coverage"))
 
 
 # --- search ---
@@ -240,17 +239,15 @@ def minhash_lsh_pairs(spark, sf_dir):
 
 
 # --- drift ---
-def _loads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    c = _t(spark, sf_dir, "cells").select("nid", "source_name", "load_no", "value")
-    return c.where("load_no = 1"), c.where("load_no = 2")
-
-
 def col_jaccard_change(spark, sf_dir):
-    return drift.column_jaccard(*_loads(spark, sf_dir)).select("nid", "old_size", "new_size", "shared", F.round("jaccard", 9).alias("jaccard"))
+    """Every load of every column against the load before, over the rows that count."""
+    values = quality.value_counts(_t(spark, sf_dir, "cells")).select("nid", "load_no", "value")
+    return drift.load_jaccard(values).select("nid", "load_no", "old_size", "new_size", "shared", F.round("jaccard", 9).alias("jaccard"))
 
 
 def new_and_removed_tables(spark, sf_dir):
-    return drift.table_changes(*_loads(spark, sf_dir))
+    """Of every load of the lake against the one before."""
+    return drift.load_changes(_t(spark, sf_dir, "cells").select("source_name", "load_no"))
 
 
 # --- annotations ---
@@ -348,9 +345,11 @@ AB = f"""{G}, a as (select distinct dst as nid from g join ks on src = nid where
 n as (select node_id as nid, table_name as source_name, node_name as field_name from nodes)"""
 PR = f"""{G}, steps as (select distinct src as s, dst as d, score from g join ks on src = nid where relation = 2),
 real_ as (select s, d from steps where (d, s) not in (select s, d from steps)),
+nm as (select node_id as nid, concat_ws(':', table_name, node_name) as name from nodes),
 leaf as (select distinct s as leaf from real_ where s not in (select d from real_)),
 hit as (select d as nid, max(score) as score from steps group by d),
-walk as (select leaf, leaf as nid, 0.0::double as total from leaf union all select leaf, d, coalesce(h.score, 0) from leaf join steps on s = leaf join hit h on h.nid = d),
+walk as (select leaf, leaf as nid, 0.0::double as total, [leaf] as path, coalesce(name, 'lookup') as text from leaf left join nm on nm.nid = leaf
+  union all select w.leaf, d, total + coalesce(h.score, 0), list_append(path, d), w.text || ' -> CONTENT_SIM -> ' || coalesce(name, 'lookup') from walk w join steps on s = w.nid left join hit h on h.nid = d left join nm on nm.nid = d where not list_contains(path, d)),
 wy as (select distinct w.nid, leaf from walk w join hit using (nid)),
 cert as (select hit.nid, coalesce(max(total), 0) as certainty from hit left join walk using (nid) group by 1)"""
 STOP = "('a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with')"
@@ -368,7 +367,6 @@ el as (select distinct table_name as source_name, node_name as field_name, unnes
 cl as (select name, unnest(string_split(name, ' ')) as tok from voc),
 ne as (select source_name, field_name, count(*) as n from el group by 1, 2), nc as (select name, count(*) as n from cl group by 1),
 ma as (select source_name, field_name, name, o / (ne.n + nc.n - o) as score from (select source_name, field_name, name, count(*) as o from el join cl using (tok) group by 1, 2, 3) join ne using (source_name, field_name) join nc using (name) where o / (ne.n + nc.n - o) >= 0.5)"""
-LOADS = "o as (select distinct nid, value from cells where load_no = 1 and value is not null), w as (select distinct nid, value from cells where load_no = 2 and value is not null)"
 UP = "up as (select name, parent as ancestor, 1 as distance from voc where parent is not null union all select u.name, v.parent, distance + 1 from up u join voc v on v.name = u.ancestor where v.parent is not null)"
 
 SQL = {
@@ -384,7 +382,7 @@ select a.nid as src, b.nid as dst, round(round(sum(a.w * b.w), 9), 6) as score f
     "khop_reachability": f"with {G}, h1 as (select distinct dst as nid from g join ks on src = nid where relation = 5 and dst not in (select nid from ks)), h2 as (select distinct dst as nid from g join h1 on src = nid where relation = 5 and dst not in (select nid from ks union all select nid from h1)), h3 as (select distinct dst as nid from g join h2 on src = nid where relation = 5 and dst not in (select nid from ks union all select nid from h1 union all select nid from h2)), al as (select 1 as hops, nid from h1 union all select 2, nid from h2 union all select 3, nid from h3) select hops, count(*) as n from al group by 1",
     "all_paths": f"with {G}, e as (select distinct src, dst from g where relation = 5) select src as source, dst as target, 1 as hops, src || ',' || dst as path from e where src in (select nid from ks) and dst in (select nid from ks) union all select a.src, b.dst, 2, a.src || ',' || a.dst || ',' || b.dst from e a join e b on a.dst = b.src where a.src <> b.dst and a.src in (select nid from ks) and b.dst in (select nid from ks)",
     "shortest_paths": f"with {G}, e as (select distinct src, dst from g where relation = 5), p as (select src as source, dst as target, 1 as hops from e where src in (select nid from ks) and dst in (select nid from ks) union all select a.src, b.dst, 2 from e a join e b on a.dst = b.src where a.src <> b.dst and a.src in (select nid from ks) and b.dst in (select nid from ks)), m as (select *, min(hops) over (partition by source, target) as least from p) select source, target, hops, count(*) as paths from m where hops = least group by 1, 2, 3",
-    "table_paths": f"with {G}, h as (select distinct src, dst, a.table_name as t1, b.table_name as t2 from g join nodes a on a.node_id = src join nodes b on b.node_id = dst where relation = 5 and a.table_name <> b.table_name), f as (select min(table_name) as t0 from nodes) select t2 as target, 1 as hops, count(*) as paths from h, f where t1 = t0 group by 1",
+    "table_paths": f"with {G}, h as (select distinct src, dst, a.table_name as t1, b.table_name as t2 from g join nodes a on a.node_id = src join nodes b on b.node_id = dst where relation = 5 and a.table_name <> b.table_name) select t1 as source, t2 as target, 1 as hops, count(*) as paths from h group by 1, 2 union all select x.t1, y.t2, 2, count(*) from h x join h y on x.t2 = y.t1 where y.t2 <> x.t1 group by 1, 2",
     "degree_topk": f"with {G} select src as nid, count(*) as degree from g group by 1 order by degree desc, nid limit 20",
     "relation_report": f"with {G} select 'tables' as what, count(distinct table_name) as n from nodes union all select 'columns', count(distinct node_id) from nodes union all select 'relation ' || relation, count(*) from g where src < dst group by relation",
     "enumerate_content": f"with {G} select src, dst, round(score, 4) as score from g where relation = 2 and src < dst",
@@ -395,10 +393,11 @@ select a.nid as src, b.nid as dst, round(round(sum(a.w * b.w), 9), 6) as score f
     "drs_sources": f"with {AB} select source_name, string_agg(distinct field_name, ',' order by field_name) as fields from n where nid in (select nid from a) group by 1",
     "drs_inclusion": f"with {G}, x as (select node_id as nid from nodes where table_name in (select source_name from ks)) select distinct node_id as nid, table_name as source_name from nodes where node_id in (select dst from g join x on src = nid where relation = 6)",
     "provenance_edges": f"with {G} select nid as src_nid, nid as dst_nid, 1 as op from ks union select src, dst, 6 from g join ks on src = nid where relation = 2",
-    "why": f"with {PR} select nid, leaf from wy",
-    "coverage_rank": f"with {PR} select hit.nid, round(count(distinct leaf) / (select count(*) from leaf), 9) as coverage from hit left join wy using (nid) group by 1",
-    "certainty_rank": f"with {PR} select nid, round(certainty, 4) as certainty from cert",
-    "table_rank": f"with {PR}, t as (select table_name as source_name, sum(certainty) as certainty from cert join nodes on node_id = nid group by 1), c as (select table_name as source_name, count(distinct leaf) / (select count(*) from leaf) as coverage from wy join nodes on node_id = nid group by 1) select source_name, round(certainty, 3) as certainty, round(coverage, 9) as coverage from t left join c using (source_name)",
+    "why": f"with recursive {PR} select nid, leaf from wy",
+    "how": f"with recursive {PR} select w.nid, text as explanation from walk w join hit using (nid) where len(path) > 1",
+    "coverage_rank": f"with recursive {PR} select hit.nid, round(count(distinct leaf) / (select count(*) from leaf), 9) as coverage from hit left join wy using (nid) group by 1",
+    "certainty_rank": f"with recursive {PR} select nid, round(certainty, 4) as certainty from cert",
+    "table_rank": f"with recursive {PR}, t as (select table_name as source_name, sum(certainty) as certainty from cert join nodes on node_id = nid group by 1), c as (select table_name as source_name, count(distinct leaf) / (select count(*) from leaf) as coverage from wy join nodes on node_id = nid group by 1) select source_name, round(certainty, 3) as certainty, round(coverage, 9) as coverage from t left join c using (source_name)",
     "exact_attribute": "select node_id as nid, table_name as source_name, node_name as field_name from nodes where node_name = 'region'",
     "keyword_names": f"select node_id as nid, node_name as field_name from nodes where list_has_any({_analyse('node_name')}, ['price', 'amount'])",
     "keyword_content": f"with {CUR} select nid, count(*) as n from val where v is not null and list_has_any({_analyse('v')}, ['pending', 'various']) group by 1",
@@ -411,13 +410,29 @@ select doc_id, round(round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
     "text_signature_terms": f"with {CUR} select nid, term, count(*) as tf from (select nid, unnest({_analyse('v')}) as term from val where v is not null) where length(term) > 3 and not regexp_matches(term, '[0-9]') group by 1, 2 having count(*) > 3",
     "stored_signatures": "select id as nid, load_no, median::double as median, iqr::double as iqr, minValue as min_value, maxValue as max_value from (select * from profile where id is not null and load_no is not null qualify row_number() over (partition by id, load_no order by updated_at desc nulls last, received_at desc nulls last) = 1) where dataType = 'N'",
     "peek_values": f"with {CUR}, u as (select distinct nid, v from val where v is not null and lower(trim(v, ' ')) not in ('', 'nan') and not regexp_full_match(v, '[+-]?[0-9]+(,[0-9]+)*(\\.[0-9]+)?')), r as (select *, row_number() over (partition by nid order by v) as k from u) select nid, string_agg(v, '|' order by v) as values from r where k <= 3 group by 1",
-    "col_jaccard_change": f"with {LOADS}, j as (select coalesce(o.nid, w.nid) as nid, count(o.nid) as old_size, count(w.nid) as new_size, sum((o.nid is not null and w.nid is not null)::int)::bigint as shared from o full join w on o.nid = w.nid and o.value = w.value group by 1) select nid, old_size, new_size, shared, round(shared / (old_size + new_size - shared), 9) as jaccard from j",
-    "new_and_removed_tables": "with a as (select distinct source_name from cells where load_no = 1), b as (select distinct source_name from cells where load_no = 2) select source_name, 'new' as change from b where source_name not in (select source_name from a where source_name is not null) union all select source_name, 'removed' from a where source_name not in (select source_name from b where source_name is not null)",
+    "col_jaccard_change": f"""with {COUNTS}, ld as (select nid, load_no, p_load from prev where p_load is not null), dv as (select distinct nid, load_no, v from vals where v is not null),
+j as (select ld.nid, ld.load_no, n.v, 2 as side from ld join dv n on n.nid = ld.nid and n.load_no = ld.load_no union all select ld.nid, ld.load_no, n.v, 1 from ld join dv n on n.nid = ld.nid and n.load_no = ld.p_load),
+c as (select nid, load_no, v, sum(side) as s from j group by 1, 2, 3),
+e as (select nid, load_no, count(*) filter (s in (1, 3)) as old_size, count(*) filter (s in (2, 3)) as new_size, count(*) filter (s = 3) as shared from c group by 1, 2)
+select nid, load_no, coalesce(old_size, 0) as old_size, coalesce(new_size, 0) as new_size, coalesce(shared, 0) as shared, round(shared / nullif(old_size + new_size - shared, 0), 9) as jaccard from ld left join e using (nid, load_no)""",
+    "new_and_removed_tables": """with h as (select distinct source_name, load_no from cells where source_name is not null and load_no is not null),
+l as (select a.load_no, max(b.load_no) as before from (select distinct load_no from h) a join (select distinct load_no from h) b on b.load_no < a.load_no group by 1)
+select h.source_name, h.load_no, 'new' as change from h join l using (load_no) where (h.source_name, before) not in (select source_name, load_no from h)
+union all select h.source_name, l.load_no, 'removed' from h join l on h.load_no = before where (h.source_name, l.load_no) not in (select source_name, load_no from h)""",
     "md_search": "select doc_id::varchar as md_id, nid from documents where nid is not null and (list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'ledger') or lower(lang) = 'ledger')",
     "md_tags": "select lang as tag, count(*) as n from documents where nid is not null and lang is not null group by 1",
     "md_comments": "select doc_id::varchar as md_id, count(*) as n from documents join doclabels using (doc_id) where nid is not null group by 1",
     "name_class_match": f"with {MATCH} select source_name, field_name, name, round(score, 9) as score from ma",
     "ancestor_pairs": f"with recursive voc as (select * from (values {_VOC}) as x(name, parent)), {UP} select name, ancestor, min(distance)::int as distance from up group by 1, 2",
+    "ancestor_summary": f"""with recursive {MATCH}, {UP}, an as (select name, ancestor, min(distance) as distance from up group by 1, 2), dp as (select name as ancestor, max(distance) as depth from an group by 1),
+m as (select distinct source_name, field_name, name from ma), n as (select source_name, field_name, count(*) as n from m group by 1, 2 having count(*) > 1),
+cv as (select source_name, field_name, ancestor, count(*) as c from m join an using (name) group by 1, 2, 3),
+b as (select source_name, field_name, ancestor, row_number() over (partition by source_name, field_name order by coalesce(depth, 0) desc, c desc, ancestor) as r from cv join n using (source_name, field_name) left join dp using (ancestor) where c / n > 0.5 and coalesce(depth, 0) > 0),
+k as (select source_name, field_name, ancestor from b where r = 1)
+select source_name, field_name, name from m where (source_name, field_name) not in (select source_name, field_name from k) union select source_name, field_name, ancestor from k
+union select source_name, field_name, name from m join k using (source_name, field_name) where 1 - levenshtein(replace(name, ' ', ' '), lower(field_name)) / greatest(length(name), length(field_name)) >= 0.85""",
+    "synthetic_network": """with r(kind, m) as (values (1, 90000), (2, 90000), (5, 90000)), o as (select distinct kind, (i + kind) % 100000 as src, (i + kind + 1) % 100000 as dst from r, range(90000) t(i)),
+e as (select kind, src, dst from o union select kind, dst, src from o), d as (select src, count(*) as degree from e group by 1) select degree, count(*) as n from d group by 1""",
     "is_a_links": f"with {MATCH}, t as (select distinct source_name, name from ma), st as (select name, parent from voc where parent is not null union select name, name from voc) select distinct a.source_name, b.source_name as parent_source_name from t a join st on st.name = a.name join t b on b.name = st.parent where a.source_name <> b.source_name",
     "match_precision_recall": f"with {MATCH}, x as (select count(*) filter (score >= 0.999) as hit, count(*) as n from ma) select round(hit / n, 9) as precision, round(1.0::double, 9) as recall, round(2 * (hit / n) / (hit / n + 1), 9) as f1 from x",
     "events_windowed": "select date_trunc('hour', ts) as start, event_type as key, count(*) as n from events group by 1, 2",

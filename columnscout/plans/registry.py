@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from columnscout.plans import catalogue, discovery, lake, search_views
+from columnscout.plans import catalogue, discovery, lake, matching, search_views
 
-MODULES = (catalogue, lake, discovery, search_views)
+MODULES = (catalogue, lake, discovery, search_views, matching)
 
 
 def queries() -> dict:

@@ -163,32 +163,32 @@ def _hashed(spark, sf_dir, hashes) -> tuple[DataFrame, DataFrame]:
 
 
 def rbp_buckets(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"rbp{i}", 6, 64, i) for i in range(4)])
+    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"rbp{i}", 6, 64, i) for i in range(64)])
     return ann.search(q, b)
 
 
 def rdp_buckets(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.discretised_projections(f"rdp{i}", 3, 1.0, 64, i) for i in range(4)])
+    q, b = _hashed(spark, sf_dir, [ann.discretised_projections(f"rdp{i}", 2, 2.0, 64, i) for i in range(8)])
     return ann.search(q, b, distance="euclidean")
 
 
 def pca_buckets(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.pca_projections("pca", 4, _vectors(spark, sf_dir), "v")])
+    q, b = _hashed(spark, sf_dir, ann.split(ann.pca_projections("pca", 63, _vectors(spark, sf_dir), "v"), 3))
     return ann.search(q, b)
 
 
 def rbp_tree(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.binary_projections("tree", 12, 64, 3)])
-    return ann.nearest_filter(ann.with_distance(ann.tree_candidates(q, b, 20)), 10)
+    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"tree{i}", 12, 64, i) for i in range(32)])
+    return ann.nearest_filter(ann.with_distance(ann.tree_candidates(q, b, 100)), 10)
 
 
 def hamming1_probe(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.binary_projections("h", 8, 64, 5)])
+    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"h{i}", 8, 64, i) for i in range(32)])
     return ann.search(ann.hamming_probes(q), b)
 
 
 def hamming2_permuted(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.binary_projections("h", 12, 64, 5)])
+    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"h{i}", 12, 64, i) for i in range(40)])
     return ann.nearest_filter(ann.with_distance(ann.hamming_within(q, b, 12, 2)), 10)
 
 
@@ -200,7 +200,7 @@ def distance_threshold(spark, sf_dir):
 
 
 def recall_precision(spark, sf_dir):
-    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"rbp{i}", 4, 64, i) for i in range(8)])
+    q, b = _hashed(spark, sf_dir, [ann.binary_projections(f"rbp{i}", 4, 64, i) for i in range(24)])
     v = _vectors(spark, sf_dir)
     return ann.recall_precision(ann.search(q, b, include_self=False), ann.exact_nearest(v.where("id % 50 = 0"), v, 10))
 
@@ -221,7 +221,18 @@ c as (select * from a where v <> '1-URGENT'), d as (select case when v = '2-HIGH
 _COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _CELLS = ["nid", "source_name", "load_no", "row_no", "value", "received_at"]
 
+RELATIONS_OF_VIEWS = f"""with {VIEWS}, vs as (select 'a' as n, k, v from a union all select 'b', k, v from a union all select 'c', k, v from c union all select 'd', k, v from d union all select 'e', k, v from e),
+u as (select distinct n, k, v from vs), s as (select n, count(*) as c from u group by n),
+sh as (select x.n as a, y.n as b, count(*) as shared from u x join u y on x.k = y.k and x.v = y.v and x.n < y.n group by 1, 2),
+kc as (select x.n as a, y.n as b, count(distinct x.k) as conflicts from u x join u y on x.k = y.k and x.n < y.n and x.v <> y.v group by 1, 2),
+p as (select x.n as a, y.n as b, x.c as na, y.c as nb, coalesce(shared, 0) as shared, coalesce(conflicts, 0) as conflicts from s x join s y on x.n < y.n left join sh on sh.a = x.n and sh.b = y.n left join kc on kc.a = x.n and kc.b = y.n)
+select a, b, case when shared = na and shared = nb then 'compatible' when shared = least(na, nb) then 'contained' when conflicts > 0 then 'contradictory' else 'complementary' end as relation,
+case when shared = na and shared = nb then shared when shared = least(na, nb) then least(na, nb) when conflicts > 0 then conflicts else shared end::bigint as detail from p"""
+
 SQL = {
+    "candidate_groups": "select 0 as number, 'customer,nation,orders' as tables, 3 as filters union all select 1, 'customer,nation', 2 union all select 2, 'customer', 1",
+    "view_join_graphs": "select 'customer.c_custkey=orders.o_custkey|customer.c_nationkey=nation.n_nationkey|lineitem.l_orderkey=orders.o_orderkey' as graph, 3 as joins union all select 'customer.c_nationkey=nation.n_nationkey|lineitem.l_suppkey=supplier.s_suppkey|nation.n_nationkey=supplier.s_nationkey', 3 union all select 'customer.c_custkey=orders.o_custkey|lineitem.l_orderkey=orders.o_orderkey|lineitem.l_suppkey=supplier.s_suppkey|nation.n_nationkey=supplier.s_nationkey', 4",
+    "view_search": "select n_name, c_name, o_orderpriority from nation join customer on n_nationkey = c_nationkey join orders on o_custkey = c_custkey where lower(n_name) = 'nation_0'",
     "filter_tables": "select 'nation' as source_name, case when exists (select 1 from nation where lower(n_name) = 'nation_0') then '0,2' else '2' end as filters, case when exists (select 1 from nation where lower(n_name) = 'nation_0') then 2 else 1 end::bigint as n union all select 'customer', '1', 1",
     "join_hop": "select n_name, c_name from nation join customer on n_nationkey = c_nationkey",
     "view_two_tables": "select n_name, c_name from nation join customer on n_nationkey = c_nationkey where lower(n_name) = 'nation_0'",
@@ -231,13 +242,9 @@ SQL = {
     "value_in_column": "select count(*) > 0 as found from nation where lower(n_name) = 'nation_0'",
     "view_describe": " union all ".join(f"select '{c}' as \"column\", count({c}) as n, count(distinct {c}) as \"distinct\", count(*) - count({c}) as nulls from orders" for c in _COLUMNS),
     "table_cleanliness": " union all ".join(f"select '{c}' as \"column\", round(sum(({c} is null or lower(trim({c}::varchar, ' ')) in ('', 'nan'))::int) / count(*), 9) as blank_share from cells" for c in _CELLS),
-    "view_relations": f"""with {VIEWS}, vs as (select 'a' as n, k, v from a union all select 'b', k, v from a union all select 'c', k, v from c union all select 'd', k, v from d union all select 'e', k, v from e),
-u as (select distinct n, k, v from vs), s as (select n, count(*) as c from u group by n),
-sh as (select x.n as a, y.n as b, count(*) as shared from u x join u y on x.k = y.k and x.v = y.v and x.n < y.n group by 1, 2),
-kc as (select x.n as a, y.n as b, count(distinct x.k) as conflicts from u x join u y on x.k = y.k and x.n < y.n and x.v <> y.v group by 1, 2),
-p as (select x.n as a, y.n as b, x.c as na, y.c as nb, coalesce(shared, 0) as shared, coalesce(conflicts, 0) as conflicts from s x join s y on x.n < y.n left join sh on sh.a = x.n and sh.b = y.n left join kc on kc.a = x.n and kc.b = y.n)
-select a, b, case when shared = na and shared = nb then 'compatible' when shared = least(na, nb) then 'contained' when conflicts > 0 then 'contradictory' else 'complementary' end as relation,
-case when shared = na and shared = nb then shared when shared = least(na, nb) then least(na, nb) when conflicts > 0 then conflicts else shared end::bigint as detail from p""",
+    "view_relations": f"""{RELATIONS_OF_VIEWS}""",
+    "view_summary": f"""with r as ({RELATIONS_OF_VIEWS}), u as (select relation, a as v from r union select relation, b from r)
+select relation, pairs, views from (select relation, count(*) as pairs from r group by 1) join (select relation, count(*) as views from u group by 1) using (relation)""",
     "curate_view": "select distinct relation_type::varchar as relation_type, source_node_id::varchar as source_node_id from edges where source_node_id is not null and relation_type is not null",
     "view_uniqueness": " union all ".join(f"select '{c}' as \"column\", round(count(distinct {c}) / count(*), 9) as uniqueness from customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")),
     "view_contradictory": f"with {VIEWS} select a.k::varchar as key, 1::bigint as rows_a, 1::bigint as rows_b from a join e using (k) where a.v <> e.v",
