@@ -13,6 +13,7 @@ import os
 import shutil
 from pathlib import Path
 
+from columnscout.plans.lineage import shared_folder
 from columnscout.sources import config, sinks
 
 
@@ -23,6 +24,11 @@ def _home() -> Path:
     return home
 
 
+def _models(spark) -> str:
+    """Where models are: executors write them, so on a cluster below the shared folder that the session names."""
+    return str(_home() / "models") if spark.sparkContext.master.startswith("local") else f"{shared_folder(spark)}/models"
+
+
 def _source(name: str) -> config.SourceConfig:
     path = _home() / "sources" / f"{name}.json"
     if not path.exists():
@@ -46,7 +52,7 @@ def build_model(source: str, name: str) -> None:
 
     spark, s = _spark(), _source(source)
     m = model.build(spark, config.tables(spark, s), s.name)
-    path = str(_home() / "models" / name)
+    path = f"{_models(spark)}/{name}"
     sinks.write_profile(m.profile, f"{path}/profile")
     sinks.write_network(m.columns, m.edges(), path)
 
@@ -55,7 +61,7 @@ def explore(name: str, keyword: str, k: int) -> list[tuple]:
     """Columns whose name has a term within the allowed edits of the keyword, and their neighbours."""
     from columnscout.operators import graph, search
 
-    columns, edges = sinks.read_network(_spark(), str(_home() / "models" / name))
+    columns, edges = sinks.read_network(spark := _spark(), f"{_models(spark)}/{name}")
     hits = search.fuzzy_match(columns, keyword, k=k)
     near = graph.neighbours(hits, edges).join(columns, "nid").select("origin", "relation", "source_name", "field_name", "score")
     return [tuple(r) for r in near.orderBy("origin", "relation", "source_name", "field_name").collect()]

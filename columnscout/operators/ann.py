@@ -115,11 +115,13 @@ def search(queries: DataFrame, stored: DataFrame, n: int = 10, distance: str = "
     return nearest_filter(with_distance(pairs, distance), n)
 
 
-def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int, distance: str = "cosine", blocks: int = 8) -> DataFrame:
+def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int, distance: str = "cosine", blocks: int | None = None) -> DataFrame:
     """(query, id, distance, rank): the exact twin, a stated query set (id, v) against all rows (id, v), in blocks of rows.
 
-    Each block of rows keeps its own n best before the merge, and the queries are joined to every block by its number.
+    Each block of rows keeps its own n best before the merge, and the queries are joined to every block by its number; there are two
+    blocks for each core that the session has, if no number is given.
     """
+    blocks = blocks or 2 * vectors.sparkSession.sparkContext.defaultParallelism
     rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), "id", "v")
     q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.col("id").alias("query"), F.col("v").alias("qv"))
     pairs = q.join(rows, "block").where("query <> id")

@@ -58,7 +58,7 @@ def semantic(elements: DataFrame, classes: DataFrame, embedding: DataFrame, posi
 
 def _meet(elements: DataFrame, classes: DataFrame) -> DataFrame:
     """All (element, class) pairs by blocks: a vocabulary is a stated set of queries against all elements."""
-    blocks = 8
+    blocks = 2 * elements.sparkSession.sparkContext.defaultParallelism
     c = classes.select(*CLASS, F.col("tokens").alias("ctokens"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     e = elements.select(*ELEMENT, "tokens", F.pmod(F.xxhash64(*ELEMENT), F.lit(blocks)).cast("int").alias("block"))
     return e.join(c, "block").drop("block")
@@ -121,8 +121,9 @@ def group_matchings(groups: DataFrame, classes: DataFrame, embedding: DataFrame,
     g = groups.join(embedding, "token")
     c = classes.select(*CLASS, F.explode("tokens").alias("token")).join(embedding.select("token", F.col("vector").alias("cv")), "token")
     # a stated set of classes against all groups, in blocks of tables
-    blocks = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    pairs = g.withColumn("b", F.pmod(F.xxhash64("source_name"), F.lit(8)).cast("int")).join(blocks.drop("token"), "b").groupBy("source_name", *CLASS).agg(F.round(F.avg(dot("vector", "cv")), 9).alias("score"), F.round(F.avg("cohesion"), 9).alias("own"))
+    n = 2 * groups.sparkSession.sparkContext.defaultParallelism
+    blocks = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = g.withColumn("b", F.pmod(F.xxhash64("source_name"), F.lit(n)).cast("int")).join(blocks.drop("token"), "b").groupBy("source_name", *CLASS).agg(F.round(F.avg(dot("vector", "cv")), 9).alias("score"), F.round(F.avg("cohesion"), 9).alias("own"))
     return pairs.where((F.col("score") >= least) & (F.col("score") >= F.col("own"))).select("source_name", *CLASS, "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from columnscout.functions.numbers import is_blank, is_integer, is_numerical, to_integer, to_number
 from columnscout.operators import quality
+from columnscout.plans.lineage import Stages
 
 COLUMNS = "nid long, db_name string, source_name string, field_name string, path string"
 
@@ -58,6 +60,33 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("nid", "value").agg(F.count("*").alias("n"))
 
 
+def table_counts(tables: Mapping[str, DataFrame], db: str) -> DataFrame:
+    """`value_counts` of the cells that `melt` gives, but counted in the columns' own types: whole and floating numbers become strings once for each distinct value, not for each cell.
+
+    A negative zero counts as zero.
+    """
+    kinds: dict[str, list[DataFrame]] = {"long": [], "double": [], "string": []}
+    for t, df in tables.items():
+        held: dict[str, list[Column]] = {k: [] for k in kinds}
+        for f in df.schema:
+            kind = "long" if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "double" if isinstance(f.dataType, T.DoubleType) else "string"
+            cell = as_cell(df[f.name], f.dataType) if kind == "string" else df[f.name].cast(kind)
+            held[kind].append(F.struct(F.lit(nid_of(db, t, f.name)).cast("long").alias("nid"), cell.alias("value")))
+        for kind, cells in held.items():
+            if cells:
+                kinds[kind].append(df.select(F.inline(F.array(*cells))))
+    parts = []
+    for kind, melted in kinds.items():
+        if melted:
+            counted = reduce(DataFrame.unionByName, melted).groupBy("nid", "value").agg(F.count("*").alias("n"))
+            if kind == "long":
+                counted = counted.withColumn("value", F.col("value").cast("string"))
+            elif kind == "double":  # several tiny numbers may read alike
+                counted = counted.withColumn("value", as_cell(F.col("value"), T.DoubleType())).groupBy("nid", "value").agg(F.sum("n").alias("n"))
+            parts.append(counted)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def infer_types(counts: DataFrame, text_only: bool = False) -> DataFrame:
     """(nid, data_type): STRING if any cell that isn't blank isn't numeric, else FLOAT if any isn't an integer, else INT; all blank is STRING.
 
@@ -90,25 +119,27 @@ def nearest_ranks(steps: DataFrame, quantiles: tuple[float, ...]) -> DataFrame:
     return found.where(F.col("at") >= F.col("rank")).groupBy("nid", "q").agg(F.min("v").alias("v"))
 
 
-def profile(counts: DataFrame, types: DataFrame | None = None) -> DataFrame:
+def profile(counts: DataFrame, types: DataFrame | None = None, stages: Stages | None = None) -> DataFrame:
     """Exact profile of each column: (nid, data_type N or T, total_values, unique_values, uniqueness, min_value, max_value, avg_value, stddev, q25, median, q75, iqr).
 
     Numeric columns count the cells that parse; text columns the cells that aren't null. Quantiles are the
     nearest rank of abs(trunc(v)); min and max keep the sign. compat: true extremes, where the stored ones started
-    at a bound of the type. Runs over distinct values, so a column of few values costs little however long it is.
+    at a bound of the type. Runs over distinct values, so a column of few values costs little however long it is. With `stages` what
+    is read several times is written once.
     """
-    types = infer_types(counts) if types is None else types
+    keep = (lambda df, name: stages.write(df, name)) if stages else (lambda df, name: df)
+    types = keep(infer_types(counts), "types") if types is None else types
     typed = counts.join(types, "nid").withColumn("data_type", F.when(F.col("data_type") == "STRING", "T").otherwise("N"))
     typed = typed.withColumn("number", F.when(F.col("data_type") == "N", to_number(F.col("value"))))
     used = F.when(F.col("data_type") == "N", F.col("number").isNotNull()).otherwise(F.col("value").isNotNull())
-    typed = typed.where(used)
+    typed = keep(typed.where(used).select("nid", "data_type", "number", "n"), "typed")
     mean = F.sum(F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))
     base = typed.groupBy("nid", "data_type").agg(
         F.sum("n").alias("total_values"), F.count("*").alias("unique_values"), F.min("number").alias("min_value"), F.max("number").alias("max_value"),
         mean.alias("avg_value"), (F.sum(F.col("number") * F.col("number") * F.col("n")) / F.sum(F.when(F.col("number").isNotNull(), F.col("n")))).alias("square"))
     base = base.withColumn("stddev", F.sqrt(F.greatest(F.col("square") - F.col("avg_value") * F.col("avg_value"), F.lit(0.0)))).drop("square")
     steps = typed.where("number is not null").groupBy("nid", F.abs(F.col("number").cast("long")).alias("v")).agg(F.sum("n").alias("n"))
-    quantiles = nearest_ranks(steps, (0.25, 0.5, 0.75)).groupBy("nid").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("v")).toDF("nid", "q25", "median", "q75")
+    quantiles = nearest_ranks(keep(steps, "steps"), (0.25, 0.5, 0.75)).groupBy("nid").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("v")).toDF("nid", "q25", "median", "q75")
     out = base.join(quantiles, "nid", "left")
     return out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("uniqueness", F.col("unique_values") / F.col("total_values"))
 

@@ -13,7 +13,7 @@ from columnscout.operators import annotations as A
 from columnscout.operators import drift, graph, onto, quality, relate, search
 from columnscout.operators.drs import Drs
 from columnscout.plans.catalogue import COUNTS
-from columnscout.plans.lineage import Stages, shared_folder
+from columnscout.plans.lineage import Stages, keep_until_release, shared_folder
 from columnscout.streaming import profile as stream
 from columnscout.streaming.profile import windowed_counts
 
@@ -323,6 +323,7 @@ def stream_profile(spark, sf_dir):
     q = stream.start(live.select("nid", "value"), f"{root}/out", f"{root}/ck")
     q.processAllAvailable()
     q.stop()
+    keep_until_release(spark, root)
     return stream.read_sketches(stream.merge_sketches(spark.read.parquet(f"{root}/out")))
 
 

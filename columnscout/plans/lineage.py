@@ -42,6 +42,13 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _ROOTS.pop())
 
 
+def keep_until_release(spark: SparkSession, folder: str) -> None:
+    """Have a folder deleted by `release`, or when the interpreter ends."""
+    if not _ROOTS:
+        atexit.register(release, spark)
+    _ROOTS.add(folder)
+
+
 class Stages:
     """The stages of one run of an operator, each written once and read by name.
 
@@ -54,9 +61,7 @@ class Stages:
         self.root = f"{shared_folder(spark)}/columnscout-{operator}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.written = 0
-        if not _ROOTS:
-            atexit.register(release, spark)
-        _ROOTS.add(self.root)
+        keep_until_release(spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` as stage `name` and return a DataFrame that reads it. A name used again doesn't touch the earlier stage, which `df` may read."""

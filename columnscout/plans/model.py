@@ -46,7 +46,7 @@ class Model:
 def build(spark: SparkSession, tables: Mapping[str, DataFrame], db: str = "lake", name: str = "model") -> Model:
     """Profile all columns of the tables. One pass over each table; the counts of distinct values and the profile are written stages."""
     stages = Stages(spark, name)
-    counts = stages.write(P.value_counts(P.melt(tables, db)), "counts")
+    counts = stages.write(P.table_counts(tables, db), "counts")
     columns = P.catalogue(spark, tables, db)
-    profile = stages.write(columns.join(P.profile(counts), "nid"), "profile")
+    profile = stages.write(columns.join(P.profile(counts, stages=stages), "nid"), "profile")
     return Model(columns, counts, profile)
