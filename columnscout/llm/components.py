@@ -4,11 +4,16 @@ Connected components by randomised contraction: in each round every vertex takes
 itself and its neighbours, the one that is first in a fresh hash order; edges are
 relabelled with these choices and deduplicated, which loses a constant share of the
 vertices on average whatever the shape of the graph (chains included). The choices of
-all rounds are composed at the end.
+all rounds are composed at the end. The last few links, of a fixed number at most, are contracted by one task:
+rounds over so little are all start-up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from columnscout.plans.lineage import Stages
 
 #: A round loses at least a quarter of the vertices on average; so many rounds are never needed.
 MAX_ROUNDS = 200
+#: From so many remaining links down one task contracts them, whatever the size of the graph.
+LAST_LINKS = 20_000
 
 
 def links_of(edges: DataFrame, nodes: DataFrame | None = None, types: tuple[int, ...] | None = None,
@@ -43,7 +50,27 @@ def _choices(links: DataFrame, seed: int) -> DataFrame:
     return best.select("u", F.when(order("n") < order("u"), F.col("n")).otherwise(F.col("u")).alias("rep"))
 
 
-def connected_groups(links: DataFrame, seed: int = 1) -> DataFrame:
+def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, rep) of links (u, v) that one task holds: the smallest label of each neighbourhood, with labels of labels, until nothing changes."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held))
+    names, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u):]
+    label, before = np.arange(len(names)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)  # the roots of both ends hook to the smaller one
+        np.minimum.at(label, label[b], least)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["u", "rep"])
+
+
+def connected_groups(links: DataFrame, seed: int = 1, last_links: int = LAST_LINKS) -> DataFrame:
     """(node_id, group_id) of every vertex of `links` (u, v); group_id is the group's smallest vertex.
 
     Runs a few jobs a round. Each round's choices and remaining links are written
@@ -58,8 +85,11 @@ def connected_groups(links: DataFrame, seed: int = 1) -> DataFrame:
         F.least("u", "v").cast("long").alias("u"), F.greatest("u", "v").cast("long").alias("v"))
     left = stages.write(links.distinct(), "links0")
     rounds: list[DataFrame] = []
-    while not left.isEmpty():
+    while n := left.count():
         k = len(rounds)
+        if n <= last_links:
+            rounds.append(stages.write(left.repartition(1).mapInArrow(_last, "u long, rep long"), f"choice{k}"))
+            break
         if k >= MAX_ROUNDS:
             raise RuntimeError(f"links remain after {MAX_ROUNDS} rounds of contraction")
         choice = stages.write(_choices(left, seed * 1_000_003 + k), f"choice{k}")

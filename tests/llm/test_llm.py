@@ -104,7 +104,11 @@ def test_set_pairs_of_many_copies(spark):
 
 # --- 3: components ---
 def groups(spark, links):
-    return sorted(map(tuple, components.connected_groups(spark.createDataFrame(links, "u long, v long")).collect()))
+    """By rounds alone, by one task alone, and by both in turn, which must agree."""
+    df = spark.createDataFrame(links, "u long, v long")
+    rounds, one, both = (sorted(map(tuple, components.connected_groups(df, last_links=n).collect())) for n in (0, 20_000, 60))
+    assert rounds == one == both
+    return rounds
 
 
 def test_groups_of_chains_stars_and_loops(spark):
