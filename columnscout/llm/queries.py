@@ -83,18 +83,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("nid_a"), F.greatest("id", "neighbour").alias("nid_b")).distinct()
 
 
-def _mixture(spark: SparkSession, sf_dir: str, temperature: bool = False):
-    """Drawn texts, quotas and targets; by mix_targets, or tempered to the entropy of its shares. A missing share is 0, a missing max_repeats 1."""
+def _mixture(spark: SparkSession, sf_dir: str, tempered: str | None = None):
+    """Drawn texts, quotas and targets; by mix_targets, or tempered to the `entropy` of its shares, or as flat as its `repeats` allow for as many tokens as there are. A missing share is 0, a missing max_repeats 1."""
     rows = _table(spark, sf_dir, "mix_targets").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.coalesce(F.sum("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(1)).alias("most")).where("source <> ''").orderBy("source").collect()
     targets, repeats = {r["source"]: r["share"] for r in rows}, {r["source"]: r["most"] for r in rows}
     stages = Stages(spark, "mixing")
     sized = stages.write(mixing.sized_texts(_table(spark, sf_dir, "documents"), list(targets)), "sized")
     supply = {r["source"]: (r["tokens"], r["texts"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts")).collect()}
     weights = targets
-    if temperature:
+    budget = None
+    if tempered:
         tokens = {s: supply.get(s, (0, 0))[0] for s in targets}
-        weights = mixing.tempered(tokens, mixing.exponent_for_entropy(tokens, mixing.entropy(targets)))
-    parts = mixing.quotas(weights, supply, repeats)
+        total = sum(tokens.values())
+        budget = total if tempered == "repeats" else None
+        held = [repeats[s] for s, t in tokens.items() if t > 0 and repeats[s] > 0]
+        exponent = mixing.exponent_for_repeats(tokens, total, min(held, default=1)) if tempered == "repeats" else mixing.exponent_for_entropy(tokens, mixing.entropy(targets))
+        weights = mixing.tempered(tokens, exponent)
+    parts = mixing.quotas(weights, supply, repeats, budget)
     return mixing.draw(sized, parts), parts, weights
 
 
@@ -108,7 +113,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(*_mixture(spark, sf_dir, temperature=True))
+    return mixing.shares(*_mixture(spark, sf_dir, "entropy"))
+
+
+def p8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of the flattest tempered mixture, of as many tokens as there are, in which no source is used more often than the strictest limit."""
+    return mixing.shares(*_mixture(spark, sf_dir, "repeats"))
 
 
 def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +139,5 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p4_found": p4_found, "p4_changes": p4_changes, "p5_found": p5_found, "p5_residuals": p5_residuals,
-           "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature,
+           "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature, "p8_repeats": p8_repeats,
            "p9_found": p9_found, "p9_structure": p9_structure, "p9_statistics": p9_statistics}

@@ -351,6 +351,8 @@ def test_drawing_reaches_the_shares(spark, monkeypatch):
 
 @needs_vocabulary
 def test_mix_of_the_tables(spark, small):
+    flat = QUERIES["p8_repeats"](spark, small).collect()
+    assert sum(x.actual_share for x in flat) == pytest.approx(1) and all(x.drawn_tokens <= x.available_tokens * max(1, x.most_copies) for x in flat)
     r = {x.source: x for x in QUERIES["p8_shares"](spark, small).collect()}
     assert sum(x.actual_share for x in r.values()) == pytest.approx(1) and all(x.most_copies >= 0 for x in r.values())
 
