@@ -50,13 +50,13 @@ def match_relation_names(spark, sf_dir):
 
 def match_semantic(spark, sf_dir):
     """L52: column names and classes by their words' vectors, with a signal of any kind."""
-    return _semantic(spark, sf_dir).where("signal <> 0").select("source_name", "field_name", "name", "signal", F.round("score", 6).alias("score"))
+    return _semantic(spark, sf_dir).where("signal <> 0").select("source_name", "field_name", "name", "signal", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def match_relation_semantic(spark, sf_dir):
     """L42: tables and classes by their words' vectors, the words that both have left out."""
     m = onto.semantic(onto.relation_elements(_columns(spark, sf_dir)), onto.class_elements(_vocabulary(spark, TABLE_VOCABULARY)), _embedding(spark), positive=0.25, negative=0.0, ban_shared=True)
-    return m.where("signal > 0").select("source_name", "name", F.round("score", 6).alias("score"))
+    return m.where("signal > 0").select("source_name", "name", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def match_cancelled(spark, sf_dir):
@@ -101,7 +101,7 @@ def match_cohesive(spark, sf_dir):
     """L6: tables and classes by the group of column words that belong together."""
     words = _columns(spark, sf_dir).select("source_name", onto.name_tokens(F.col("field_name")).alias("tokens"))
     groups = onto.cohesive_groups(words, _embedding(spark), 0.5)
-    return onto.group_matchings(groups, onto.class_elements(_vocabulary(spark)), _embedding(spark), 0.5).select("source_name", "name", F.round("score", 6).alias("score"))
+    return onto.group_matchings(groups, onto.class_elements(_vocabulary(spark)), _embedding(spark), 0.5).select("source_name", "name", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def keyword_columns(spark, sf_dir):
@@ -109,7 +109,7 @@ def keyword_columns(spark, sf_dir):
     index = search.postings(_values(spark, sf_dir).withColumnRenamed("value", "text"))
     best = search.bm25(index, search.query_terms(spark, "pending office"), 20).join(_columns(spark, sf_dir), "nid")
     drs = Drs.lookup(best, "pending office")
-    return drs.hits.join(drs.prov.select(F.col("dst_nid").alias("nid"), "op"), "nid").select("nid", "source_name", "field_name", "op", F.round("score", 6).alias("score"))
+    return drs.hits.join(drs.prov.select(F.col("dst_nid").alias("nid"), "op"), "nid").select("nid", "source_name", "field_name", "op", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 def view_equivalence(spark, sf_dir):
@@ -136,16 +136,16 @@ _CON = f"{CUR}, vv as (select distinct nid, lower(trim(v, ' ')) as value from va
 SQL = {
     "match_relation_names": f"""with {MATCH}, {_TAB}, nt as (select source_name, count(*) as n from tb group by 1)
 select source_name, name, round(o / (nt.n + nc.n - o), 9) as score from (select source_name, name, 1 as n, count(*) as o from tb join tcl on tok = name group by 1, 2) as nc join nt using (source_name) where o / (nt.n + nc.n - o) >= 0.3 - 1e-9""",
-    "match_semantic": f"with {_SEM} select source_name, field_name, name, signal, round(score, 6) as score from sem where signal <> 0",
+    "match_semantic": f"with {_SEM} select source_name, field_name, name, signal, round(score, 6) + 0.0 as score from sem where signal <> 0",
     "match_relation_semantic": f"""with {MATCH}, {_EMB}, {_TAB},
 sh as (select distinct source_name, name from tb join tcl on tok = name),
 pr as (select source_name, name, coalesce(list_inner_product(a.vector, b.vector), 0.0) as s from tb cross join tcl left join emb a on a.token = tb.tok left join emb b on b.token = tcl.name
        where (source_name, name) not in (select source_name, name from sh))
-select source_name, name, round(round(avg(s), 9), 6) as score from pr group by 1, 2 having round(avg(s), 9) >= 0.25""",
+select source_name, name, round(round(avg(s), 9), 6) + 0.0 as score from pr group by 1, 2 having round(avg(s), 9) >= 0.25""",
     "match_cohesive": f"""with {MATCH}, {_EMB}, t as (select distinct source_name, tok, vector from el join emb on token = tok),
 g as (select a.source_name, a.tok, a.vector, round(avg(list_inner_product(a.vector, b.vector)), 9) as cohesion from t a join t b on a.source_name = b.source_name and a.tok <> b.tok group by 1, 2, 3 having round(avg(list_inner_product(a.vector, b.vector)), 9) >= 0.5),
 s as (select source_name, name, round(avg(list_inner_product(g.vector, e.vector)), 9) as score, round(avg(cohesion), 9) as own from g cross join (select name, vector from cl join emb on token = tok) e group by 1, 2)
-select source_name, name, round(score, 6) as score from s where score >= 0.5 and score >= own""",
+select source_name, name, round(score, 6) + 0.0 as score from s where score >= 0.5 and score >= own""",
     "match_cancelled": f"with {_SEM} select source_name, field_name, name from ma where (source_name, field_name, name) not in (select source_name, field_name, name from sem where signal < 0)",
     "match_combined": f"""with {_SEM}, al as (select source_name, field_name, name, 'L5' as kind from ma union select source_name, field_name, name, 'L52' from sem where signal > 0)
 select source_name, field_name, name, string_agg(kind, ',' order by kind) as kinds, count(*) as n from al group by 1, 2, 3""",
@@ -166,7 +166,7 @@ select table_name as source_name, node_name as field_name, name, round(o / ni.n,
     "keyword_columns": f"""with {CUR}, p as (select nid, term, count(*) as tf from (select nid, unnest({_analyse('v')}) as term from val where v is not null) group by 1, 2),
 l as (select nid, sum(tf) as len from p group by 1), s as (select count(*) as n, avg(len) as al from l), q as (select * from p where term in ('pending', 'office')), f as (select term, count(*) as df from q group by 1),
 sc as (select nid, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 9) as score from q join f using (term) join l using (nid), s group by 1 order by score desc, nid limit 20)
-select nid, table_name as source_name, node_name as field_name, 2 as op, round(score, 6) as score from sc join nodes on node_id = nid where node_name is not null and table_name is not null""",
+select nid, table_name as source_name, node_name as field_name, 2 as op, round(score, 6) + 0.0 as score from sc join nodes on node_id = nid where node_name is not null and table_name is not null""",
     "view_equivalence": f"""with {VIEWS}, z as (select distinct lower(k::varchar) as k, lower(v) as v, n from (select k, v, 'a' as n from a union all select k, v, 'b' from a union all select k, v, 'c' from c union all select k, v, 'd' from d union all select k, v, 'e' from e)),
 kb as (select n, list_sort(list(k)) as ks, list_sort(list(v)) as vs from z group by n)
 select x.n as a, y.n as b, x.ks = y.ks and x.vs = y.vs as equivalent, list_has_all(x.ks, list_distinct(y.ks)) and list_has_all(x.vs, list_distinct(y.vs)) as contained, list_distinct(x.ks) is distinct from list_distinct(y.ks) and not (list_has_all(x.ks, y.ks) and list_has_all(y.ks, x.ks)) as complementary
