@@ -17,6 +17,8 @@ from columnscout.plans.lineage import Stages
 #: Kinds of evidence.
 KINDS = ("L1", "L2", "L3", "L4", "L42", "L5", "L52", "L6", "L7")
 ELEMENT, CLASS = ["db_name", "source_name", "field_name"], ["kr", "name"]
+#: Elements of the same classes are linked in chunks of about so many.
+CHUNK = 256
 
 
 def attribute_elements(columns: DataFrame) -> DataFrame:
@@ -182,13 +184,30 @@ def summarise_to_ancestor(matchings: DataFrame, vocabulary: DataFrame, fan_out:
 
 
 def find_links(matchings: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(child and parent element, relation is_a): elements whose classes are the same, or of which one's class is the parent of the other's."""
-    m = matchings.select(*ELEMENT, *CLASS).distinct()
-    other = m.select(*(F.col(c).alias(f"parent_{c}") for c in ELEMENT), "kr", F.col("name").alias("parent"))
+    """(child and parent element, relation is_a): elements whose classes are the same, or of which one's class is the parent of the other's.
+
+    Elements with the same set of classes have the same links. So links are found between sets, and written out for the members of both
+    in chunks, in the order of the joins: no pair of elements is made twice, shuffled or sorted. The result has a row for each pair, so
+    of a class with very many elements a quadratic number.
+    """
+    spark = matchings.sparkSession
+    stages, tasks = Stages(spark, "links"), 4 * spark.sparkContext.defaultParallelism
+    element = matchings.where("kr is not null and name is not null").groupBy(*ELEMENT).agg(F.array_sort(F.collect_set(F.struct(*CLASS))).alias("classes"))
+    element = stages.write(element, "elements")
+    sets = element.groupBy("classes").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sets = stages.write(sets.select(F.monotonically_increasing_id().alias("set"), "classes", "chunks"), "sets")
     step = vocabulary.where("parent is not null").select("kr", "name", "parent").union(vocabulary.select("kr", "name", F.col("name").alias("parent"))).distinct()
-    pairs = m.join(step, CLASS).join(other, ["kr", "parent"])
+    held = sets.select("set", "chunks", F.inline("classes"))
+    parent = held.select(F.col("set").alias("parent_set"), F.col("chunks").alias("parent_chunks"), "kr", F.col("name").alias("parent"))
+    linked = held.join(step, CLASS).repartition(tasks, "kr", "parent").join(parent, ["kr", "parent"]).select("set", "chunks", "parent_set", "parent_chunks").distinct()
+    for c in ("", "parent_"):
+        linked = linked.withColumn(f"{c}chunk", F.explode(F.sequence(F.lit(0), F.col(f"{c}chunks") - 1))).drop(f"{c}chunks")
+    child = element.join(sets, "classes").select("set", F.pmod(F.xxhash64(*ELEMENT), F.col("chunks")).cast("int").alias("chunk"), *ELEMENT)
+    other = child.toDF("parent_set", "parent_chunk", *(f"parent_{c}" for c in ELEMENT))
+    # numbers of tasks are given, since the rows of the result don't follow the bytes that are shuffled
+    pairs = child.join(linked.repartition(tasks, "set", "chunk"), ["set", "chunk"]).repartition(tasks, "parent_set", "parent_chunk").join(other, ["parent_set", "parent_chunk"])
     differ = (F.col("source_name") != F.col("parent_source_name")) | (F.col("field_name") != F.col("parent_field_name")) | (F.col("db_name") != F.col("parent_db_name"))
-    return pairs.where(differ).select(*ELEMENT, *(f"parent_{c}" for c in ELEMENT), F.lit("is_a").alias("relation")).distinct()
+    return pairs.where(differ).select(*ELEMENT, *(f"parent_{c}" for c in ELEMENT), F.lit("is_a").alias("relation"))
 
 
 def write_lines(matchings: DataFrame) -> DataFrame:

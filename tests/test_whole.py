@@ -1,5 +1,6 @@
 """Operators run to the end: no caps on depth, graphs or hops; the same rows whatever is read; measured recall of the hashed searches."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from columnscout.functions.text import camel_to_snake, name_tokens
 from columnscout.operators import ann, drift, graph, onto, views
 from columnscout.operators.drs import Drs, Op
 from columnscout.operators.views import Join
-from columnscout.plans import search_views
+from columnscout.plans import discovery, search_views
 from columnscout.sources import readers
 
 
@@ -88,3 +89,28 @@ def test_recall_of_hashed_searches(spark, small, name, distance):
     recall = ann.recall_precision(found, exact).first().recall
     print(name, round(recall, 3))
     assert recall >= 0.9
+
+
+def _above_last_join(df):
+    """The optimised plan above its last join."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+
+
+@pytest.mark.parametrize("chunk", [256, 2])
+def test_links_of_all_elements(spark, monkeypatch, chunk):
+    """Against all pairs; several vocabularies, sets of classes, columns without a name, repeated matchings, an unknown class."""
+    monkeypatch.setattr(onto, "CHUNK", chunk, raising=False)
+    rng = np.random.default_rng(5)
+    voc = [("k", "c0", None), ("k", "c1", "c0"), ("k", "c2", "c0"), ("k", "c3", "c1"), ("k", "c3", "c2"), ("q", "c0", "c1"), ("q", "c1", None)]
+    m = [("d", f"t{rng.integers(9)}", f"f{rng.integers(3)}", "kq"[rng.integers(2)], f"c{rng.integers(5)}") for _ in range(60)] + [("d", "t", None, "k", "c1"), (None, "t", "f", "k", "c1"), ("d", "t", "f", None, "c1"), ("d", "t", "f", "k", None)]
+    step = {(k, n, p) for k, n, p in voc if p} | {(k, n, n) for k, n, _ in voc}
+    differ = lambda a, b: any(x != y for x, y in zip(a, b, strict=True) if None not in (x, y))
+    want = {(*a[:3], *b[:3], "is_a") for a in m for b in m if a[3] and a[3] == b[3] and (a[3], a[4], b[4]) in step and differ(a[:3], b[:3])}
+    links = onto.find_links(spark.createDataFrame(m, "db_name string, source_name string, field_name string, kr string, name string"), spark.createDataFrame(voc, "kr string, name string, parent string"))
+    rows = [tuple(r) for r in links.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_pairs_of_elements_are_not_gathered_again(spark, small):
+    """The largest result of the vocabulary queries is written as it is joined, without a shuffle of its rows."""
+    assert not any(x in _above_last_join(discovery.is_a_links(spark, small)) for x in ("Aggregate", "Repartition", "Sort", "Distinct"))
