@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from columnscout.functions.text import name_tokens
-from columnscout.operators import ann
+from columnscout.functions.vectors import unit
 
 #: Numbers of the relation types.
 RELATIONS = {"SCHEMA": 0, "SCHEMA_SIM": 1, "CONTENT_SIM": 2, "ENTITY_SIM": 3, "PKFK": 5, "INCLUSION_DEPENDENCY": 6, "MEANS_SAME": 10, "MEANS_DIFF": 11,
              "SUBCLASS": 12, "SUPERCLASS": 13, "MEMBER": 14, "CONTAINER": 15}
 #: Fixed value: relation types from this number on come from annotations.
 METADATA_FROM = 10
+#: Vectors in a block: at least, where there are more blocks than one, and at most, about. Cells of a matrix product that are in memory at once.
+FEW, MOST, STEP = 512, 16_384, 2**20
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
@@ -176,12 +183,35 @@ def reduced_vectors(names: DataFrame, dimensions: int = 16, buckets: int = 256,
     return PCA(k=dimensions, inputCol="__w", outputCol="__p").fit(weighted).transform(weighted).select(F.col(id_col).alias("id"), vector_to_array("__p").alias("v"))
 
 
-def hashed_similarity(vectors: DataFrame, bits: int = 8, tables: int = 6, least: float = 0.8, k: int = 10, seed: int = 1) -> DataFrame:
-    """(src, dst, score): approximate twin of `schema_similarity` over vectors (id, v): nearest k of the bucket-mates of random hyperplane hashes; score is 1 - cosine distance."""
-    dim = len(vectors.select("v").first()["v"])
-    stored = ann.buckets(vectors.where(F.exists("v", lambda x: x != 0)), [ann.binary_projections(f"h{i}", bits, dim, seed + i) for i in range(tables)], "id", "v")
-    near = ann.search(stored, stored, k, include_self=False)
-    return near.select(F.col("query").alias("src"), F.col("id").alias("dst"), (1 - F.col("distance")).alias("score")).where(F.col("score") >= least)
+def hashed_similarity(vectors: DataFrame, least: float = 0.8) -> DataFrame:
+    """(src, dst, score): approximate twin of `schema_similarity` over vectors (id, v) of distinct ids: all pairs of vectors whose cosine, to nine places, is at least `least`, in both directions.
+
+    The vectors approximate the names; their pairs are complete: blocks of vectors meet in matrix products, each two blocks once, so that
+    vectors are shuffled once a block and pairs not at all. Zero vectors, which have no direction, are left out.
+    """
+    some = vectors.where(F.exists("v", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), unit("v").alias("v"))
+    count, cores = some.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-count // MOST), min(count // FEW, math.isqrt(8 * cores)))  # then there are about four pairs of blocks for each core
+    own, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = some.withColumn("own", own).withColumn("other", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "v")
+
+    def similar(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = (k.as_py() for k in key)
+        t = pa.Table.from_batches(list(batches))
+        ids, at = t["id"].to_numpy(), t["own"].to_numpy()
+        v = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        right, right_v = ids[at == b], v[at == b]
+        left, left_v = ids[at == a], v[at == a]
+        step = max(1, STEP // max(1, len(right)))
+        for i in range(0, len(left), step):
+            score = np.round(left_v[i : i + step] @ right_v.T, 9)
+            x, y = np.nonzero(score >= least)
+            src, dst, found = left[i : i + step][x], right[y], score[x, y]
+            keep = src != dst
+            for s, d in ((src[keep], dst[keep]), (dst[keep], src[keep]))[: 1 + (a != b)]:
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(found[keep])], ["src", "dst", "score"])
+
+    return sent.repartition(n * (n + 1) // 2, "a", "b").groupBy("a", "b").applyInArrow(similar, "src long, dst long, score double")
 
 
 def entity_similarity(entities: DataFrame, least: float = 0.8) -> DataFrame:

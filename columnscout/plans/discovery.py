@@ -215,7 +215,10 @@ def text_term_sim(spark, sf_dir):
 
 
 def schema_sim_hashed(spark, sf_dir):
-    """Stored columns with similar names, by hashes of latent vectors of their name tokens."""
+    """Similar names of stored columns, by latent vectors of their hashed name tokens: all pairs of names of a cosine of at least 0.8.
+
+    A name is the hash of its lower-case tokens in order, and has one row for each similar name, however many columns have it.
+    """
     names = columns_of(spark, sf_dir).where("field_name is not null").select(name_tokens(F.lower("field_name")).alias("tokens")).where("size(tokens) > 0").distinct()
     v = Stages(spark, "latent").write(relate.reduced_vectors(names.select(F.xxhash64("tokens").alias("nid"), "tokens")), "v")
     return relate.hashed_similarity(v)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from columnscout.functions.text import camel_to_snake, name_tokens
-from columnscout.operators import ann, drift, graph, onto, views
+from columnscout.operators import ann, drift, graph, onto, relate, views
 from columnscout.operators.drs import Drs, Op
 from columnscout.operators.views import Join
 from columnscout.plans import discovery, search_views
@@ -91,6 +91,31 @@ def test_recall_of_hashed_searches(spark, small, name, distance):
     assert recall >= 0.9
 
 
+@pytest.mark.parametrize("few", [512, 8])
+def test_all_similar_vectors(spark, monkeypatch, few):
+    """Of clusters of more than ten vectors, none is left out, in one block and in several; zero vectors have no direction."""
+    monkeypatch.setattr(relate, "FEW", few, raising=False)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.standard_normal((6, 16)).repeat(15, axis=0) + 0.25 * rng.standard_normal((90, 16)), rng.standard_normal((30, 16)), np.zeros((2, 16))])
+    got = relate.hashed_similarity(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"))
+    rows = [tuple(r) for r in got.collect()]
+    u = v[:120] / np.linalg.norm(v[:120], axis=1)[:, None]
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, 0)
+    assert len(rows) == len({r[:2] for r in rows}) and {r[:2] for r in rows} == set(zip(*(x.tolist() for x in np.nonzero(cosine >= 0.8)), strict=True))
+    assert max(np.bincount([r[0] for r in rows])) > 10 and all(abs(cosine[a, b] - s) < 1e-8 for a, b, s in rows)
+    assert relate.hashed_similarity(spark.createDataFrame([], "id long, v array<double>")).count() == 0
+
+
+def test_similar_names_of_stored_columns(spark, small):
+    """As many as a comparison of all latent vectors gives."""
+    names = discovery.columns_of(spark, small).select(name_tokens(F.lower("field_name")).alias("tokens")).where("size(tokens) > 0").distinct()
+    v = np.stack([r.v for r in relate.reduced_vectors(names.select(F.xxhash64("tokens").alias("nid"), "tokens")).collect()])
+    v = v[np.abs(v).max(axis=1) > 0]
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    assert discovery.schema_sim_hashed(spark, small).count() == (np.round(u @ u.T, 9) >= 0.8).sum() - len(u)
+
+
 def _above_last_join(df):
     """The optimised plan above its last join."""
     return df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
