@@ -184,13 +184,13 @@ def reduced_vectors(names: DataFrame, dimensions: int = 16, buckets: int = 256,
 
 
 def hashed_similarity(vectors: DataFrame, least: float = 0.8) -> DataFrame:
-    """(src, dst, score): approximate twin of `schema_similarity` over vectors (id, v) of distinct ids: all pairs of vectors whose cosine, to nine places, is at least `least`, in both directions.
+    """(src, dst, score): approximate twin of `schema_similarity` over vectors (id, v) of one length and distinct ids: all pairs of vectors whose cosine, to nine places, is at least `least`, in both directions.
 
     The vectors approximate the names; their pairs are complete: blocks of vectors meet in matrix products, each two blocks once, so that
     vectors are shuffled once a block and pairs not at all. Zero vectors, which have no direction, are left out.
     """
-    some = vectors.where(F.exists("v", lambda x: x != 0)).select(F.col("id").cast("long").alias("id"), unit("v").alias("v"))
-    count, cores = some.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    some = vectors.where(F.exists("v", lambda x: x != 0)).select("id", unit("v").alias("v"))
+    id_type, count, cores = vectors.schema["id"].dataType.simpleString(), some.count(), vectors.sparkSession.sparkContext.defaultParallelism
     n = max(1, -(-count // MOST), min(count // FEW, math.isqrt(8 * cores)))  # then there are about four pairs of blocks for each core
     own, other = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sent = some.withColumn("own", own).withColumn("other", other).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "v")
@@ -209,9 +209,9 @@ def hashed_similarity(vectors: DataFrame, least: float = 0.8) -> DataFrame:
             src, dst, found = left[i : i + step][x], right[y], score[x, y]
             keep = src != dst
             for s, d in ((src[keep], dst[keep]), (dst[keep], src[keep]))[: 1 + (a != b)]:
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(found[keep])], ["src", "dst", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(s, t["id"].type), pa.array(d, t["id"].type), pa.array(found[keep])], ["src", "dst", "score"])
 
-    return sent.repartition(n * (n + 1) // 2, "a", "b").groupBy("a", "b").applyInArrow(similar, "src long, dst long, score double")
+    return sent.repartition(n * (n + 1) // 2, "a", "b").groupBy("a", "b").applyInArrow(similar, f"src {id_type}, dst {id_type}, score double")
 
 
 def entity_similarity(entities: DataFrame, least: float = 0.8) -> DataFrame:

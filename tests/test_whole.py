@@ -116,6 +116,13 @@ def test_similar_names_of_stored_columns(spark, small):
     assert discovery.schema_sim_hashed(spark, small).count() == (np.round(u @ u.T, 9) >= 0.8).sum() - len(u)
 
 
+def test_pairs_of_vectors_are_not_shuffled(spark):
+    """Ids of any type; the rows leave the tasks that compare the blocks, and nothing comes after them."""
+    found = relate.hashed_similarity(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<double>"))
+    assert sorted((r.src, r.dst) for r in found.collect()) == [("a", "b"), ("b", "a")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("FlatMapGroupsInArrow")
+
+
 def _above_last_join(df):
     """The optimised plan above its last join."""
     return df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
